@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor; once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_papersieve_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="papersieve-")) / "papersieve.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(target))
+    sc._papersieve_shipped = True
+
+
 def read_table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder; a file or a folder of part files."""
+    ship(spark)
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
