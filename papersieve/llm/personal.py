@@ -1,0 +1,341 @@
+"""Personal information in free text: detection by typed grammars, typed placeholders, and keyed surrogates.
+
+Numbers, mail addresses and postal addresses are found by the grammar of their formats, with the words before them
+ruling out order, invoice, grant, accession and book numbers; names by the phrases that introduce a person in eight
+languages, and then wherever the same name stands again in the text.
+
+Every found entity gets a surrogate that is drawn by a keyed hash, agrees with it in kind, script, format and (for given
+names that occur in the tables of both genders) gender, and is the same wherever the entity occurs: names are mapped
+word by word, so that a name with and without its middle initial stays one person. Surrogates that two entities share
+are drawn again until all are distinct.
+
+Defined results: null and empty texts have no items and stay as they are; an item found several times in a text is one
+row; where spans overlap, the earlier and longer one holds.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from papersieve.session import cut, read_table, spread
+
+KEY = b"papersieve"  # production passes its own secret
+KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
+
+_L = r"A-Za-zÀ-ÖØ-öø-ÿ"
+_D = r"0-9०-९"
+# A beginning that no word or number runs into; letters of scripts without blanks may stand before.
+_B = rf"(?<![{_L}{_D}_@.+/-])"
+_E = rf"(?![{_L}{_D}_])"
+
+_LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*"
+_HOST = r"[A-Za-z0-9-]+"
+EMAIL = re.compile(
+    rf"{_B}{_LOCAL}(?:@{_HOST}(?:\.{_HOST})*\.[A-Za-z]{{2,}}"
+    rf"|\s?[\[(]\s?(?:at|AT)\s?[\])]\s?{_HOST}(?:(?:\.|\s?[\[(]\s?(?:dot|DOT)\s?[\])]\s?){_HOST})+"
+    rf"|\s+(?:AT|at)\s+{_HOST}(?:\s+(?:DOT|dot)\s+{_HOST})+){_E}"
+)
+
+_W = rf"[A-ZÀ-Ý][{_L}'’-]+"
+_PLACE = rf"{_W}(?:\s{_W})?"
+_DW = r"[ऀ-ॿ]+"
+ADDRESS = re.compile(
+    "|".join(
+        (
+            rf"{_B}\d{{1,4}}\s{_W}\s(?:Avenue|Street|Road|Lane|Drive|Boulevard),\s(?:Apt|Unit|Suite)\s\d+,\s{_PLACE},\s[A-Z]{{2}}\s\d{{5}}",
+            rf"{_B}\d{{1,4}}\s{_W}\s(?:Lane|Street|Road|Close|Avenue),\s{_PLACE}\s[A-Z]{{1,2}}\d[A-Z\d]?\s\d[A-Z]{{2}}",
+            rf"{_B}Flat\s\d+,\s{_W}\sSociety,\s{_W}\sRoad,\s{_PLACE}\s\d{{3}}\s?\d{{3}}",
+            rf"{_B}Plot\sNo\.\s\d+,\sNear\s{_W}\sTemple,\s{_PLACE}\s-\s\d{{3}}\s?\d{{3}}",
+            rf"{_B}H\.\s?No\.\s\d+(?:/\d+)?,\s{_W}\sGalli,\sAt\sPost\s{_PLACE}\s\d{{3}}\s?\d{{3}}",
+            rf"{_B}{_W}(?:straße|strasse|weg|gasse|allee|platz)\s\d+[a-z]?,\s\d{{5}}(?=\s{_W})",
+            rf"{_B}\d{{1,4}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place)\s{_PLACE},\s\d{{5}}(?=\s{_W})",
+            rf"{_B}(?:Calle|Avenida|Plaza)\s{_PLACE}\s\d{{1,4}},\s\d{{5}}(?=\s{_W})",
+            rf"{_B}[{_D}]{{1,4}},\s{_DW}\s(?:मार्ग|गली|वाडा|रोड|पथ|चौक|नगर),\s{_DW}\s[{_D}]{{3}}\s?[{_D}]{{3}}",
+        )
+    ).replace(r"\s", r"[ \n ]")
+)
+
+ID = re.compile(
+    "|".join(
+        (
+            rf"{_B}[A-Z]{{5}}\d{{4}}[A-Z]{_E}",
+            rf"{_B}(?:19|20)\d{{2}}[A-Z]{{2,4}}\d{{4,6}}{_E}",
+            rf"{_B}P(?:19|20)\d{{2}}[A-Z]{{2}}\d{{5,7}}{_E}",
+            rf"{_B}\d{{4}}([ -]?)\d{{4}}\1\d{{4}}(?![-.]?\d){_E}",
+            rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}(?![-.]?\d){_E}",
+            rf"{_B}[A-Z]\d{{7}}{_E}",
+        )
+    )
+)
+
+PHONE = re.compile(
+    "|".join(
+        (
+            rf"(?<![{_L}{_D}_@.+/-])(?:\+|00|००)[{_D}]{{2}}[ .-]?[{_D}]{{2,5}}(?:[ .-]?[{_D}]{{2,8}}){{1,3}}(?![-]?[{_D}])",
+            rf"{_B}\([{_D}]{{2,5}}\)\s?[{_D}]{{3,4}}[ -]?[{_D}]{{2,4}}(?![-]?[{_D}])",
+            rf"{_B}[0०][{_D}]{{2}}\s[{_D}]{{4}}\s[{_D}]{{4}}(?![-]?[{_D}])",
+            rf"{_B}0[{_D}](?:\s[{_D}]{{2}}){{4}}(?![-]?[{_D}])",
+            rf"{_B}0[{_D}]{{2}}\s[{_D}]{{5}}\s?[{_D}]{{3}}(?![-]?[{_D}])",
+            rf"{_B}[0०][{_D}]{{4,5}}-[{_D}]{{5,6}}(?![-]?[{_D}])",
+            rf"{_B}[{_D}]{{4}}\s[{_D}]{{3}}\s[{_D}]{{3}}(?![- ]?[{_D}])",
+            rf"{_B}[5-9५-९][{_D}]{{9}}(?![-]?[{_D}])",
+        )
+    )
+)
+# Words before a number that is no personal one.
+_NOT_PERSONAL = re.compile(r"(?:order|invoice|grant|accession|isbn|issn|doi|ref|reference|award|contract|lot|batch|serial|patent|handle|tag|account|licen[cs]e|project|proposal|barcode|sample|receipt|bill|ticket|version)s?\b[\s.:#(]*(?:no|nos|number|num|id|code)?[\s.:#(]*$", re.IGNORECASE)
+
+_WORDS = {  # fixed values: titles before a name, which don't belong to it
+    "title": r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Smt|Shri|Er|M|Mme|Sr|Sra|Herr|Herrn|Frau|Doña|Don|डॉ|प्रा|प्रो|श्री|श्रीमती|कु)\.?\s+)*",
+}
+_NAME_WORD = rf"(?:[A-ZÀ-Ý][{_L}'’]*[a-zà-ÿ'’{_L}](?:-[A-ZÀ-Ý][{_L}'’]+)*|[A-ZÀ-Ý]\.)"
+NAME_SHAPE = rf"(?:{_NAME_WORD}(?:[  ]{_NAME_WORD}){{1,3}}|{_DW}\s{_DW})"
+_DNAME = rf"(?:{_DW}\s{_DW}|{_NAME_WORD}(?:\s{_NAME_WORD}){{1,3}})"
+# Phrases that introduce a person. Each has one group, the name.
+_INTRO = [
+    rf"(?:Correspondence|Name|Student|Author|Supervisor|Guide|Contact person|Submitted by|Prepared by|Signed|Candidate)(?:\s?:|\sby)?[  ]+TITLE({NAME_SHAPE})(?=\s*(?:[,(\n.|;]|$))",
+    rf"\b(?:One|Another|The) (?:respondent|participant|student|interviewee|candidate|guide|supervisor|researcher|author),? TITLE({NAME_SHAPE})(?=,| (?:insisted|declares|said|asked|agreed|signed|wrote|confirmed))",
+    rf"\band TITLE({NAME_SHAPE})(?= answered by phone)",
+    rf"\b(?:grateful|thankful|indebted|thanks are due|thanks go) to TITLE({NAME_SHAPE})(?= for\b)",
+    rf"\b(?:thank|acknowledge)s? TITLE({NAME_SHAPE})(?= for\b)",
+    rf"\b(?:carried out|conducted|transcribed|coded|collected|supervised|guided|checked|written|prepared) by TITLE({NAME_SHAPE})(?= (?:and|over|in|on|during|for|under)\b|[.,;])",
+    rf"\b(?:carried out|conducted|transcribed|coded|collected|supervised|guided|checked|written|prepared) by TITLE{NAME_SHAPE} and TITLE({NAME_SHAPE})(?= (?:over|in|on|during|for)\b|[.,;])",
+    rf"\bDank gilt TITLE({NAME_SHAPE})(?= für\b)",
+    rf"\b(?:Der Teilnehmer|Die Teilnehmerin|Der Befragte|Die Befragte|Der Student|Die Studentin) TITLE({NAME_SHAPE})(?= (?:wies|hat|legte|gab|bat|sagte)\b)",
+    rf"\bRückfragen beantwortet TITLE({NAME_SHAPE})(?= unter\b)",
+    rf"\bJe remercie TITLE({NAME_SHAPE})(?= (?:pour|de|d')\b)",
+    rf"\b(?:Le participant|La participante|L'étudiante?|Le répondant|La répondante|El participante|El estudiante|La estudiante) TITLE({NAME_SHAPE})(?= (?:a|mostró|presentó|declara|declare|dijo|firmó)\b)",
+    rf"\bAgradezco a TITLE({NAME_SHAPE})(?= (?:la|el|las|los|su|por)\b)",
+    rf"यह शोध कार्य TITLE({_DNAME})(?= द्वारा)",
+    rf"मार्गदर्शक TITLE({_DNAME})(?= (?:का|के|की|यांचे|यांची|यांचा|यांना))",
+    rf"(?:वाली|वाले) प्रतिभागी TITLE({_DNAME})(?= ने)",
+    rf"हा प्रबंध TITLE({_DNAME})(?= यांनी)",
+    rf"असलेल्या TITLE({_DNAME})(?= यांनी)",
+    rf"(?:Guide|Name|Student|Submitted by)(?:\s?:)?\s+TITLE({_DW}\s{_DW})(?=\s*(?:[,(\n.]|$))",
+]
+INTRO = [re.compile(p.replace("TITLE", _WORDS["title"])) for p in _INTRO]
+_CUES = re.compile(
+    r"Correspondence|Name|Student|Author|Supervisor|Guide|Contact|Submitted|Prepared|Signed|Candidate|respondent|participant|student|interviewee|candidate|guide|supervisor|researcher|answered|grateful|thank|indebted|acknowledge| by |Dank gilt|Teilnehmer|Befragte|Student|Rückfragen|remercie|étudiant|répondant|estudiante|Agradezco|द्वारा|मार्गदर्शक|प्रतिभागी|प्रबंध|असलेल्या"
+)
+_LINE_NAME = re.compile(rf"^[  ]*{_WORDS['title']}({NAME_SHAPE})[  ]*$")
+_NOT_NAMES = re.compile(r"\b(?:Review|Analysis|Results|Abstract|Introduction|Discussion|Conclusion|Methodology|Data|Literature|Forschung|Stand|Revue|Marco|Plot|No|Temple|Society|Road|Lane|Avenue|Galli|Contact|Address|Mobile|Email)\b")
+
+
+def spans(text: str | None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all items, in order, without overlaps."""
+    if not text:
+        return []
+    out: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int]] = []
+
+    def add(a: int, b: int, kind: str) -> None:
+        if all(b <= x or a >= y for x, y in taken):
+            taken.append((a, b))
+            out.append((a, b, kind))
+
+    for m in EMAIL.finditer(text):
+        add(m.start(), m.end(), "EMAIL")
+    for m in ADDRESS.finditer(text):
+        add(m.start(), m.end(), "ADDRESS")
+    for kind, pattern in (("ID", ID), ("PHONE", PHONE)):
+        for m in pattern.finditer(text):
+            if not _NOT_PERSONAL.search(text[max(0, m.start() - 40) : m.start()]):
+                add(m.start(), m.end(), kind)
+    names: set[str] = set()
+    if _CUES.search(text):
+        for pattern in INTRO:
+            for m in pattern.finditer(text):
+                if not _NOT_NAMES.search(m.group(1)):
+                    add(m.start(1), m.end(1), "NAME")
+                    names.add(m.group(1))
+    # A name on a line of its own, beside lines of contact data.
+    if out:
+        lines, at = text.split("\n"), 0
+        contact = set()
+        starts = []
+        for line in lines:
+            starts.append(at)
+            at += len(line) + 1
+        for a, b, kind in out:
+            if kind != "NAME":
+                k = _line_of(starts, a)
+                contact.add(k)
+        for k, line in enumerate(lines):
+            m = _LINE_NAME.match(line)
+            if m and len(line) < 60 and (k + 1 in contact or k - 1 in contact) and not _NOT_NAMES.search(line):
+                add(starts[k] + m.start(1), starts[k] + m.end(1), "NAME")
+                names.add(m.group(1))
+    # Further places of names that were introduced.
+    for n in names:
+        at = text.find(n)
+        while at >= 0:
+            e = at + len(n)
+            if not (text[at - 1 : at].isalnum() or text[e : e + 1].isalnum() or text[e : e + 1] == "-"):
+                add(at, e, "NAME")
+            at = text.find(n, e)
+    return sorted(out)
+
+
+def _line_of(starts: list[int], pos: int) -> int:
+    import bisect
+
+    return bisect.bisect_right(starts, pos) - 1
+
+
+def placeholder_text(text: str | None) -> str | None:
+    """The text with [KIND n] in place of every item; equal items of a text share their number."""
+    if not text:
+        return text
+    seen: dict[tuple[str, str], int] = {}
+    count: dict[str, int] = {}
+    parts, at = [], 0
+    for a, b, kind in spans(text):
+        key = (kind, text[a:b])
+        if key not in seen:
+            count[kind] = count.get(kind, 0) + 1
+            seen[key] = count[kind]
+        parts += [text[at:a], f"[{kind} {seen[key]}]"]
+        at = b
+    return "".join(parts) + text[at:]
+
+
+# Given names for surrogates, by gender; surnames are built from syllables.
+_FEMALE = "Asha Birgit Clara Dipti Elena Fatima Gita Hanna Irina Juliane Kiran Lena Meera Nora Olga Priti Rosa Sita Tara Vidya".split()
+_MALE = "Arun Bruno Carlos Dinesh Emil Felix Gaurav Hugo Ivan Jonas Karl Luis Mohan Nils Oscar Pablo Rahul Stefan Tomas Vijay".split()
+_DEV_FEMALE = "आशा गीता दीप्ति मीरा विद्या सीता तारा प्रीति".split()
+_DEV_MALE = "अरुण मोहन दिनेश विजय राहुल गौरव अजय सुरेश".split()
+_HEAD, _TAIL = "bal cor del fen gor hal jun kel lom mar nol per quin ras sel tor ulm ver wes yan".split(), "ado berg dal eno fort gar hede ivar kamp lund mer nath orp pur ren sted tal und vik wad".split()
+_DEV_HEAD, _DEV_TAIL = "कम गोर जय तेल नव पाट भोर मान राज सात".split(), "कर वाले देव राव पंत धर साने गडे".split()
+_KNOWN_FEMALE = frozenset("hemlata ketaki revati mrunal falguni nandita anagha devika tanuja urmila pallavi janhavi varsha chitra edith greta ruth lucia noemie heike वर्षा चित्रा रेवती केतकी अनघा देविका नंदिता".split())
+
+
+def _draw(key: bytes, kind: str, value: str, salt: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{kind}\x00{value}\x00{salt}".encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big")
+
+
+@lru_cache(maxsize=100_000)
+def _name_word(word: str, first: bool, salt: int, key: bytes) -> str:
+    low = word.casefold()
+    if len(word) == 2 and word[1] == ".":
+        return chr(65 + _draw(key, "initial", low, 0) % 26) + "."
+    d = _draw(key, "word", low, salt)
+    if word[0] > "ऀ":
+        if first:
+            table = _DEV_FEMALE if low in _KNOWN_FEMALE else _DEV_MALE
+            return table[d % len(table)]
+        return _DEV_HEAD[d % len(_DEV_HEAD)] + _DEV_TAIL[d // 97 % len(_DEV_TAIL)]
+    if first:
+        table = _FEMALE if low in _KNOWN_FEMALE else _MALE
+        new = table[d % len(table)]
+    else:
+        new = "-".join((_HEAD[x % 20] + _TAIL[x // 97 % 20] + (_TAIL[x // 9973 % 20] if salt else "")).capitalize() for x in (_draw(key, "word", p.casefold(), salt) for p in word.split("-")))
+    return new.upper() if word.isupper() and len(word) > 2 else new
+
+
+def surrogate(kind: str, value: str, salt: int = 0, key: bytes = KEY) -> str:
+    """A replacement of the same kind, script and format, the same for equal values; another salt gives another draw."""
+    if kind == "NAME":
+        words = value.split(" ")
+        caps = [w.isupper() and len(w) > 2 for w in words]
+        # "SURNAME Given": the capitals mark the surname.
+        first = 1 if caps[0] and not all(caps) and len(words) > 1 else 0
+        return " ".join(_name_word(w, i == first and len(w) > 2, salt, key) for i, w in enumerate(words))
+    d = _draw(key, kind, value, salt)
+    stream = hashlib.blake2b(d.to_bytes(8, "big"), key=key, digest_size=64).digest()
+    out, k = [], 0
+    word_at = 0
+    for m in re.finditer(rf"[{_L}]+|[0-9]|[०-९]|.", value, re.DOTALL):
+        t = m.group()
+        b = stream[k % 64]
+        k += 1
+        if t.isdigit():
+            # Country and trunk prefixes keep the format.
+            keep = kind == "PHONE" and (m.start() < 3 and value[0] == "+" or m.start() < 4 and value[:2] == "00" or m.start() == 0 and t in "0०")
+            out.append(t if keep else (chr(0x966 + b % 10) if t > "9" else str(b % 10)))
+        elif t.isalpha() and kind == "ID":
+            out.append("".join(chr(65 + stream[(k + j) % 64] % 26) for j in range(len(t))))
+        elif t.isalpha() and kind == "EMAIL":
+            fixed = t.lower() in ("at", "dot") or word_at > 0 and not re.search(r"@|at\b|AT\b", value[m.start() :])
+            new = t if fixed else _HEAD[b % 20] + _TAIL[stream[(k + 7) % 64] % 20]
+            out.append(new.upper() if t.isupper() and not fixed else new)
+        elif t.isalpha() and kind == "ADDRESS":
+            known = t in ("Flat", "Society", "Road", "Plot", "No", "Near", "Temple", "H", "Galli", "At", "Post", "Avenue", "Apt", "Lane", "Calle", "rue", "bis", "ter", "Street", "Drive", "Boulevard", "Unit", "Suite", "Close", "Avenida", "Plaza", "avenue", "boulevard", "place")
+            tail = next((x for x in ("straße", "strasse", "weg", "gasse", "allee", "platz") if t.endswith(x)), "")
+            out.append(t if known else (_HEAD[b % 20] + _TAIL[stream[(k + 7) % 64] % 20]).capitalize() + tail)
+        else:
+            out.append(t)
+        word_at += t.isalpha()
+    return "".join(out)
+
+
+def items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, pii_kind, pii_text), one row per distinct item of a text."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, k, t) for i, text in zip(pdf[id_col], pdf[text_col]) for k, t in {(k, text[a:b]) for a, b, k in spans(text)}]
+            yield pd.DataFrame(rows, columns=[id_col, "pii_kind", "pii_text"])
+
+    src = spread(docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col), id_col)
+    return src.mapInPandas(run, f"{id_col} {id_type}, pii_kind string, pii_text string")
+
+
+def surrogates(found: DataFrame, key: bytes = KEY, rounds: int = 8) -> DataFrame:
+    """(pii_kind, pii_text, surrogate) of every distinct item; shared or unchanged surrogates are drawn again.
+
+    Values are compared without regard to letter case and inner blanks. The smallest value of those that share a
+    surrogate keeps it, the others go on with the next salt. What still clashes after the rounds gets the value's hash
+    appended, so distinctness never fails.
+    """
+
+    def draw(salt: int):
+        @F.pandas_udf("string")
+        def f(kind: pd.Series, value: pd.Series) -> pd.Series:
+            return pd.Series([surrogate(k, v, salt, key) for k, v in zip(kind, value)], dtype=object)
+
+        return f
+
+    todo = cut(found.select("pii_kind", "pii_text").distinct().withColumn("salt", F.lit(0)).withColumn("surrogate", draw(0)("pii_kind", "pii_text")))
+    for salt in range(1, rounds + 1):
+        first = todo.groupBy("pii_kind", "surrogate").agg(F.min("pii_text").alias("keeper"), F.count("*").alias("n"))
+        real = found.select("pii_kind", F.col("pii_text").alias("surrogate")).distinct().withColumn("real", F.lit(True))
+        marked = todo.join(first, ["pii_kind", "surrogate"]).join(real, ["pii_kind", "surrogate"], "left")
+        clash = (F.col("n") > 1) & (F.col("pii_text") != F.col("keeper")) | F.col("real").isNotNull()
+        marked = cut(marked.select("pii_kind", "pii_text", "surrogate", clash.alias("clash")))
+        if marked.where("clash").isEmpty():
+            return marked.select("pii_kind", "pii_text", "surrogate")
+        again = draw(salt)
+        todo = cut(marked.where("not clash").select("pii_kind", "pii_text", "surrogate").unionByName(marked.where("clash").select("pii_kind", "pii_text", again("pii_kind", "pii_text").alias("surrogate"))))
+    first = todo.groupBy("pii_kind", "surrogate").agg(F.min("pii_text").alias("keeper"))
+    out = todo.join(first, ["pii_kind", "surrogate"])
+    tag = F.concat("surrogate", F.lit(" "), F.lower(F.hex(F.xxhash64("pii_text"))))
+    return out.select("pii_kind", "pii_text", F.when(F.col("pii_text") == F.col("keeper"), F.col("surrogate")).otherwise(tag).alias("surrogate"))
+
+
+def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    return items(read_table(spark, data_dir, "documents")).distinct()
+
+
+def p10_surrogates(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(doc_id, pii_kind, pii_text, surrogate) for every item of every text."""
+    found = cut(items(read_table(spark, data_dir, "documents")).distinct())
+    return found.join(surrogates(found), ["pii_kind", "pii_text"]).select("doc_id", "pii_kind", "pii_text", "surrogate")
+
+
+def p10_placeholders(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(doc_id, text): every text with typed placeholders."""
+
+    @F.pandas_udf("string")
+    def put(s: pd.Series) -> pd.Series:
+        return s.map(placeholder_text, na_action="ignore")
+
+    d = read_table(spark, data_dir, "documents").where("doc_id is not null").select("doc_id", "text")
+    return spread(d, "doc_id").select("doc_id", put("text").alias("text"))

@@ -14,10 +14,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papersieve.session import spread
+from papersieve.session import read_table, spread
 
 # Abbreviations that do not end a sentence when something follows.
 ABBREVIATIONS = frozenset(
@@ -293,3 +293,14 @@ def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     src = spread(df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, text_col), id_col)
     return src.mapInPandas(run, f"{id_col} {id_type}, start_char int, end_char int, sentence string")
+
+
+def p7_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    p = read_table(spark, data_dir, "preprocessed")
+    return split_sentences(p, "prep_id", "original_full_text").select("prep_id", "start_char", "end_char").distinct()
+
+
+def p7_unit_sentences(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(unit_id, start_char, end_char, sentence): the sentences inside the archived units."""
+    u = read_table(spark, data_dir, "sentence_units")
+    return split_sentences(u, "unit_id", "original_text").distinct()
