@@ -43,24 +43,27 @@ EMAIL = re.compile(
     rf"|\s+(?:AT|at)\s+{_HOST}(?:\s+(?:DOT|dot)\s+{_HOST})+){_E}"
 )
 
+_HIDDEN_AT = re.compile(r"[\[(]\s?at\s?[\])]| at \S+ dot ", re.IGNORECASE)
+_DIGITS = re.compile(r"[0-9०-९]{3}[ .-]?[0-9०-९]|[0-9०-९]{2}[ -][0-9०-९]{2}")
+
 _W = rf"[A-ZÀ-Ý][{_L}'’-]+"
 _PLACE = rf"{_W}(?:\s{_W})?"
 _DW = r"[ऀ-ॿ]+"
-ADDRESS = re.compile(
-    "|".join(
-        (
-            rf"{_B}\d{{1,4}}\s{_W}\s(?:Avenue|Street|Road|Lane|Drive|Boulevard),\s(?:Apt|Unit|Suite)\s\d+,\s{_PLACE},\s[A-Z]{{2}}\s\d{{5}}",
-            rf"{_B}\d{{1,4}}\s{_W}\s(?:Lane|Street|Road|Close|Avenue),\s{_PLACE}\s[A-Z]{{1,2}}\d[A-Z\d]?\s\d[A-Z]{{2}}",
-            rf"{_B}Flat\s\d+,\s{_W}\sSociety,\s{_W}\sRoad,\s{_PLACE}\s\d{{3}}\s?\d{{3}}",
-            rf"{_B}Plot\sNo\.\s\d+,\sNear\s{_W}\sTemple,\s{_PLACE}\s-\s\d{{3}}\s?\d{{3}}",
-            rf"{_B}H\.\s?No\.\s\d+(?:/\d+)?,\s{_W}\sGalli,\sAt\sPost\s{_PLACE}\s\d{{3}}\s?\d{{3}}",
-            rf"{_B}{_W}(?:straße|strasse|weg|gasse|allee|platz)\s\d+[a-z]?,\s\d{{5}}(?=\s{_W})",
-            rf"{_B}\d{{1,4}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place)\s{_PLACE},\s\d{{5}}(?=\s{_W})",
-            rf"{_B}(?:Calle|Avenida|Plaza)\s{_PLACE}\s\d{{1,4}},\s\d{{5}}(?=\s{_W})",
-            rf"{_B}[{_D}]{{1,4}},\s{_DW}\s(?:मार्ग|गली|वाडा|रोड|पथ|चौक|नगर),\s{_DW}\s[{_D}]{{3}}\s?[{_D}]{{3}}",
-        )
-    ).replace(r"\s", r"[ \n ]")
-)
+# Each format with words of which a text must hold one for the format to be looked for at all.
+ADDRESSES = [
+    (words, re.compile(pattern.replace(r"\s", r"[ \n ]")))
+    for words, pattern in (
+        (("Apt", "Unit", "Suite"), rf"{_B}\d{{1,4}}\s{_W}\s(?:Avenue|Street|Road|Lane|Drive|Boulevard),\s(?:Apt|Unit|Suite)\s\d+,\s{_PLACE},\s[A-Z]{{2}}\s\d{{5}}"),
+        (("Lane", "Street", "Road", "Close", "Avenue"), rf"{_B}\d{{1,4}}\s{_W}\s(?:Lane|Street|Road|Close|Avenue),\s{_PLACE}\s[A-Z]{{1,2}}\d[A-Z\d]?\s\d[A-Z]{{2}}"),
+        (("Flat",), rf"{_B}Flat\s\d+,\s{_W}\sSociety,\s{_W}\sRoad,\s{_PLACE}\s\d{{3}}\s?\d{{3}}"),
+        (("Plot",), rf"{_B}Plot\sNo\.\s\d+,\sNear\s{_W}\sTemple,\s{_PLACE}\s-\s\d{{3}}\s?\d{{3}}"),
+        (("Galli",), rf"{_B}H\.\s?No\.\s\d+(?:/\d+)?,\s{_W}\sGalli,\sAt\sPost\s{_PLACE}\s\d{{3}}\s?\d{{3}}"),
+        (("straße", "strasse", "weg ", "gasse ", "allee ", "platz "), rf"{_B}{_W}(?:straße|strasse|weg|gasse|allee|platz)\s\d+[a-z]?,\s\d{{5}}(?=\s{_W})"),
+        ((" rue ", " avenue ", " boulevard ", " place "), rf"{_B}\d{{1,4}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place)\s{_PLACE},\s\d{{5}}(?=\s{_W})"),
+        (("Calle", "Avenida", "Plaza"), rf"{_B}(?:Calle|Avenida|Plaza)\s{_PLACE}\s\d{{1,4}},\s\d{{5}}(?=\s{_W})"),
+        (("मार्ग", "गली", "वाडा", "रोड", "पथ", "चौक", "नगर"), rf"{_B}[{_D}]{{1,4}},\s{_DW}\s(?:मार्ग|गली|वाडा|रोड|पथ|चौक|नगर),\s{_DW}\s[{_D}]{{3}}\s?[{_D}]{{3}}"),
+    )
+]
 
 ID = re.compile(
     "|".join(
@@ -120,10 +123,18 @@ _INTRO = [
     rf"असलेल्या TITLE({_DNAME})(?= यांनी)",
     rf"(?:Guide|Name|Student|Submitted by)(?:\s?:)?\s+TITLE({_DW}\s{_DW})(?=\s*(?:[,(\n.]|$))",
 ]
-INTRO = [re.compile(p.replace("TITLE", _WORDS["title"])) for p in _INTRO]
-_CUES = re.compile(
-    r"Correspondence|Name|Student|Author|Supervisor|Guide|Contact|Submitted|Prepared|Signed|Candidate|respondent|participant|student|interviewee|candidate|guide|supervisor|researcher|answered|grateful|thank|indebted|acknowledge| by |Dank gilt|Teilnehmer|Befragte|Student|Rückfragen|remercie|étudiant|répondant|estudiante|Agradezco|द्वारा|मार्गदर्शक|प्रतिभागी|प्रबंध|असलेल्या"
-)
+# For each phrase a word that a text must hold for it to be looked for.
+_GATES = [
+    ("Correspondence", "Name", "Student", "Author", "Supervisor", "Guide", "Contact person", "Submitted", "Prepared", "Signed", "Candidate"),
+    ("respondent", "participant", "student", "interviewee", "candidate", "guide", "supervisor", "researcher", "author"),
+    ("answered by phone",), ("grateful", "thankful", "indebted", "thanks"), ("thank", "acknowledge"),
+    ("carried out by", "conducted by", "transcribed by", "coded by", "collected by", "supervised by", "guided by", "checked by", "written by", "prepared by"),
+    ("carried out by", "conducted by", "transcribed by", "coded by", "collected by", "supervised by", "guided by", "checked by", "written by", "prepared by"),
+    ("Dank gilt",), ("Teilnehmer", "Befragte", "Student"), ("Rückfragen",), ("remercie",),
+    ("participant", "étudiant", "répondant", "estudiante"), ("Agradezco",), ("शोध कार्य",), ("मार्गदर्शक",), ("प्रतिभागी",), ("प्रबंध",), ("असलेल्या",),
+    ("Guide", "Name", "Student", "Submitted"),
+]
+INTRO = [(words, re.compile(p.replace("TITLE", _WORDS["title"]))) for words, p in zip(_GATES, _INTRO, strict=True)]
 _LINE_NAME = re.compile(rf"^[  ]*{_WORDS['title']}({NAME_SHAPE})[  ]*$")
 _NOT_NAMES = re.compile(r"\b(?:Review|Analysis|Results|Abstract|Introduction|Discussion|Conclusion|Methodology|Data|Literature|Forschung|Stand|Revue|Marco|Plot|No|Temple|Society|Road|Lane|Avenue|Galli|Contact|Address|Mobile|Email)\b")
 
@@ -140,17 +151,21 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
             taken.append((a, b))
             out.append((a, b, kind))
 
-    for m in EMAIL.finditer(text):
-        add(m.start(), m.end(), "EMAIL")
-    for m in ADDRESS.finditer(text):
-        add(m.start(), m.end(), "ADDRESS")
+    if "@" in text or _HIDDEN_AT.search(text):
+        for m in EMAIL.finditer(text):
+            add(m.start(), m.end(), "EMAIL")
+    for words, pattern in ADDRESSES:
+        if any(w in text for w in words):
+            for m in pattern.finditer(text):
+                add(m.start(), m.end(), "ADDRESS")
+    digits = _DIGITS.search(text)
     for kind, pattern in (("ID", ID), ("PHONE", PHONE)):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if digits else ():
             if not _NOT_PERSONAL.search(text[max(0, m.start() - 40) : m.start()]):
                 add(m.start(), m.end(), kind)
     names: set[str] = set()
-    if _CUES.search(text):
-        for pattern in INTRO:
+    for words, pattern in INTRO:
+        if any(w in text for w in words):
             for m in pattern.finditer(text):
                 if not _NOT_NAMES.search(m.group(1)):
                     add(m.start(1), m.end(1), "NAME")
