@@ -24,8 +24,11 @@ QUOTES = (("Double", DOUBLE_QUOTES), ("Single", SINGLE_QUOTES))
 
 def extract(col: Column) -> Column:
     """Array of (citation_type, citation_text) in the order IEEE, Author-Year, DOI, URL."""
-    parts = [F.transform(F.regexp_extract_all(col, F.lit(p), F.lit(1)), lambda x, k=k: F.struct(F.lit(k).alias("citation_type"), x.alias("citation_text"))) for k, p in KINDS]
-    return F.concat(*parts)
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("citation_type"), x.alias("citation_text")))
+
+    return F.concat(*(of(k, p) for k, p in KINDS))
 
 
 def citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

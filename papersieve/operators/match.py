@@ -52,7 +52,7 @@ def exact_matches(docs: DataFrame, src: DataFrame) -> DataFrame:
     return docs.join(first, "clean").select("doc_id", "sent_idx", "at.source_id", "at.src_idx")
 
 
-def fuzzy_candidates(d: DataFrame, s: DataFrame, keys: int = 6) -> DataFrame:
+def fuzzy_candidates(d: DataFrame, s: DataFrame, keys: int = 2) -> DataFrame:
     """(clean, other): distinct sentences that share one of the rarest words of the document's sentence.
 
     Pairs that share no rare word are not proposed; this blocked mode trades recall on near-chance similarities for a

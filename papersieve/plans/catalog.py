@@ -112,11 +112,6 @@ def fuzzy_best_match(spark, d):
     return match.fuzzy_best(cut(doc_sentences(spark, d)), cut(source_sentences(spark, d)))
 
 
-@query()
-def staged_matches(spark, d):
-    return match.staged_matches(cut(doc_sentences(spark, d)), cut(source_sentences(spark, d)))
-
-
 @query("SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS first_doc_id FROM documents WHERE text IS NOT NULL QUALIFY doc_id > first_value(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id)")
 def duplicate_docs(spark, d):
     k = docs(spark, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
@@ -138,7 +133,8 @@ def jaccard_pairs(spark, d):
 
 @query(sql.TFIDF)
 def tfidf_pair_cosine(spark, d):
-    return title_twins(spark, d).select("ref_id", "hit_id", F.round(similarity.pair_tfidf(F.col("raw_text"), F.col("hit_title")), 6).alias("cosine"))
+    c = similarity.pair_tfidf_frame(title_twins(spark, d), ["ref_id", "hit_id"], "raw_text", "hit_title")
+    return c.select("ref_id", "hit_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query(f"WITH {sql.TWINS} {sql.TOKEN_SET_BOUND}")

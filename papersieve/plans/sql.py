@@ -145,5 +145,5 @@ SCORES = f"""WITH {DOC_CLEAN}, {SRC_CLEAN}, {_FIRST}, m AS (SELECT doc_id, CAST(
 z AS (SELECT d.doc_id, {wc("coalesce(text, '')")} AS doc_words, coalesce(w, 0) AS w, coalesce(c, 0) AS c FROM documents d LEFT JOIN m USING (doc_id)), y AS (SELECT *, CASE WHEN doc_words > 0 THEN least(100.0, w / doc_words * 100) ELSE 0 END AS pct FROM z)
 SELECT doc_id, doc_words, w AS exact_words, 0 AS fuzzy_words, 0 AS semantic_words, c AS exact_count, 0 AS fuzzy_count, 0 AS semantic_count, w AS effective_words, round(pct, 6) AS overall_pct, round(pct, 6) AS exact_pct,
 CASE WHEN pct <= 10 THEN 'Very Low' WHEN pct <= 25 THEN 'Low' WHEN pct <= 40 THEN 'Moderate' WHEN pct <= 60 THEN 'High' ELSE 'Very High' END AS risk_level FROM y"""
-SECTION_SCORES = f"""WITH {DOC_CLEAN}, {SRC_CLEAN}, {_FIRST}, {_HEADS}, m AS (SELECT dc.doc_id, strpos(d.text, sentence) - 1 AS at, {wc('sentence')} AS words FROM dc JOIN f USING (clean) JOIN documents d ON d.doc_id = dc.doc_id)
-SELECT m.doc_id, section, CAST(sum(words) AS BIGINT) AS matched_words, count(*) AS matches FROM m JOIN sec ON sec.doc_id = m.doc_id AND at >= start_char AND at < end_char GROUP BY 1, 2"""
+SECTION_SCORES = f"""WITH {DOC_CLEAN}, {SRC_CLEAN}, {_FIRST}, {_HEADS}, m AS (SELECT dc.doc_id, strpos(d.text, sentence) - 1 AS pos, {wc('sentence')} AS words FROM dc JOIN f USING (clean) JOIN documents d ON d.doc_id = dc.doc_id)
+SELECT m.doc_id, section, CAST(sum(words) AS BIGINT) AS matched_words, count(*) AS matches FROM m JOIN sec ON sec.doc_id = m.doc_id AND pos >= start_char AND pos < end_char GROUP BY 1, 2"""
