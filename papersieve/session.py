@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -58,11 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, reclaim: bool = False) -> DataFrame:
     """Materialise once as a table in the shared checkpoint folder and read it back.
 
     The lineage ends there, so a lost executor costs a re-read and not a re-run; as compressed columns the table takes a
     fraction of an RDD checkpoint. The folder of a process is removed when the process ends.
+    With reclaim, the driver then collects its garbage, so Spark deletes the shuffle files of finished stages at once
+    instead of some time.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
@@ -73,7 +76,12 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove, sc, home)
     path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    if reclaim:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _remove(sc, home: str) -> None:
