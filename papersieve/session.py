@@ -47,6 +47,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *keys)
 
 
+def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows only where the input has fewer partitions than the cluster has cores, as a single file of one row group
+    has; inputs of many splits are left as they are read, without a shuffle."""
+    spark = df.sparkSession
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return spread(df, *keys)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one is set only where none is configured."""
     sc = spark.sparkContext
