@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersieve.functions.similarity import pair_tfidf, partial_udf, token_set_bound, token_set_udf
+from papersieve.functions.setjoin import similar_pairs
+from papersieve.functions.similarity import pair_tfidf, partial_udf
 from papersieve.functions.text import tokens
 
 FUZZY = 80.0
@@ -52,11 +53,10 @@ def exact_matches(docs: DataFrame, src: DataFrame) -> DataFrame:
     return docs.join(first, "clean").select("doc_id", "sent_idx", "at.source_id", "at.src_idx")
 
 
-def fuzzy_candidates(d: DataFrame, s: DataFrame, keys: int = 2) -> DataFrame:
+def semantic_candidates(d: DataFrame, s: DataFrame, keys: int = 6) -> DataFrame:
     """(clean, other): distinct sentences that share one of the rarest words of the document's sentence.
 
-    Pairs that share no rare word are not proposed; this blocked mode trades recall on near-chance similarities for a
-    join that is linear in the text.
+    Pairs that share no rare word are not proposed, a join that is linear in the text; only the semantic stage uses it.
     """
     words = s.select(F.col("clean").alias("other"), F.explode(F.array_distinct(tokens(F.col("clean")))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
@@ -68,9 +68,8 @@ def fuzzy_candidates(d: DataFrame, s: DataFrame, keys: int = 2) -> DataFrame:
 def fuzzy_best(docs: DataFrame, src: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """(doc_id, sent_idx, source_id, src_idx, score): the best source sentence by token set ratio, from threshold up."""
     d, s = docs.select("clean").distinct(), source_index(src)
-    near = fuzzy_candidates(d, s).where(token_set_bound(F.col("clean"), F.col("other")) >= threshold)
-    scored = near.withColumn("score", token_set_udf("clean", "other")).where(F.col("score") >= threshold)
-    at = scored.join(s.withColumnRenamed("clean", "other"), "other")
+    scored = similar_pairs(d.withColumnRenamed("clean", "x"), s.select(F.col("clean").alias("y")), threshold, best=True)
+    at = scored.withColumnsRenamed({"x": "clean", "y": "other"}).join(s.withColumnRenamed("clean", "other"), "other")
     best = at.groupBy("clean").agg(F.max_by(F.struct("source_id", "src_idx", "score"), F.struct("score", F.negative("source_id"), F.negative("src_idx"))).alias("m"))
     return docs.join(best, "clean").select("doc_id", "sent_idx", "m.source_id", "m.src_idx", F.round("m.score", 1).alias("score"))
 
@@ -80,7 +79,7 @@ def semantic_first(docs: DataFrame, src: DataFrame, threshold: float = SEMANTIC,
     the TF-IDF cosine of the pair."""
     d = docs.where(F.size(tokens(F.col("clean"))) >= min_tokens).select("clean").distinct()
     s = source_index(src)
-    gated = fuzzy_candidates(d, s).where(partial_udf("clean", "other") > GATE)
+    gated = semantic_candidates(d, s).where(partial_udf("clean", "other") > GATE)
     scored = gated.withColumn("score", pair_tfidf(F.col("clean"), F.col("other"))).where(F.col("score") >= threshold)
     at = scored.join(s.withColumnRenamed("clean", "other"), "other")
     first = at.groupBy("clean").agg(F.min(F.struct("source_id", "src_idx", "score")).alias("m"))
