@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papersieve.functions.setjoin import set_words, similar_pairs
 from papersieve.functions.similarity import token_set_bound, token_set_udf
 from papersieve.functions.text import strip, title_key
 from papersieve.session import cut
@@ -92,5 +93,18 @@ def leader_groups(similar: DataFrame, nodes: DataFrame) -> DataFrame:
             return state
 
 
-def title_words(col: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(col), r"\s+"), lambda w: w != ""))
+def title_groups(hits: DataFrame, same: float = 85.0) -> DataFrame:
+    """(id, leader): a hit follows the first earlier primary whose title has a token set ratio above same, else it leads.
+
+    Hits of one lower-case title are one node, the first of them: the later ones meet the primaries that it met, or itself.
+    A title without words is like no other.
+    """
+    k = cut(hits.where("title is not null").groupBy("hit_id").agg(F.lower(F.min("title")).alias("t")))
+    empty = F.size(set_words(F.col("t"))) == 0
+    nodes = cut(k.where(~empty).groupBy("t").agg(F.min("hit_id").alias("id")))
+    near = similar_pairs(nodes.select(F.col("t").alias("x")), nodes.select(F.col("t").alias("y")), same).where(F.col("score") > same)
+    at = lambda c, to: nodes.select(F.col("t").alias(c), F.col("id").alias(to))
+    pairs = cut(near.join(at("x", "a"), "x").join(at("y", "b"), "y").where("a < b").select("a", "b").distinct())
+    led = leader_groups(pairs, nodes.select("id")).join(nodes, "id").select("t", "leader")
+    alone = k.where(empty).select(F.col("hit_id").alias("id"), F.col("hit_id").alias("leader"))
+    return k.join(led, "t").select(F.col("hit_id").alias("id"), "leader").unionByName(alone)

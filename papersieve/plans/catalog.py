@@ -255,12 +255,8 @@ def domain_reliability(spark, d):
 
 @query()
 def web_grouping(spark, d):
-    """Hits grouped by equal title words; the earliest of a group leads."""
-    h = read_table(spark, d, "scholar_hits").where("title is not null").groupBy("hit_id").agg(F.min("title").alias("title"))
-    k = h.select(F.col("hit_id").alias("id"), F.hash(F.array_sort(web.title_words(F.col("title")))).alias("k"))
-    first = k.groupBy("k").agg(F.min("id").alias("a"))
-    pairs = k.join(first, "k").where("id > a").select("a", F.col("id").alias("b"))
-    return web.leader_groups(pairs, k.select("id"))
+    """Hits grouped by like titles; the earliest of a group leads."""
+    return web.title_groups(read_table(spark, d, "scholar_hits"))
 
 
 @query(sql.PHRASES)
