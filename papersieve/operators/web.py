@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersieve.functions.setjoin import set_words, similar_pairs
-from papersieve.functions.similarity import token_set_bound, token_set_udf
 from papersieve.functions.text import strip, title_key
 from papersieve.session import cut
 
@@ -57,16 +56,11 @@ def registry_join(refs: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def search_status(refs: DataFrame, hits: DataFrame, sure: float = 85.0, doubtful: float = 70.0) -> DataFrame:
-    """(ref_id, status, hit_id): the best hit by token set ratio of the titles; candidates share one of the rarest words
-    of the reference's title. VERIFIED, PARTIALLY VERIFIED (year off), SUSPICIOUS, else NOT VERIFIED."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]{3,})"), F.lit(1)))
+    """(ref_id, status, hit_id): the best hit by token set ratio of the titles, of all hits. VERIFIED, PARTIALLY VERIFIED
+    (year off), SUSPICIOUS, else NOT VERIFIED."""
     h = hits.where("title is not null").groupBy(F.lower("title").alias("ht")).agg(F.min("hit_id").alias("hit_id"), F.min_by("year", "hit_id").alias("hy"))
-    hw = cut(h.select("ht", F.explode(words(F.col("ht"))).alias("w")))
-    n = hw.groupBy("w").agg(F.count("*").alias("n"))
-    r = refs.where("title is not null").select(F.lower("title").alias("rt")).distinct()
-    best = r.select("rt", F.explode(words(F.col("rt"))).alias("w")).join(n, "w").groupBy("rt").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, 3).alias("k")).select("rt", F.explode("k.w").alias("w"))
-    near = best.join(hw, "w").select("rt", "ht").distinct().where(token_set_bound(F.col("rt"), F.col("ht")) >= doubtful)
-    top = near.withColumn("score", token_set_udf("rt", "ht")).where(F.col("score") >= doubtful).join(h, "ht").groupBy("rt").agg(F.max_by(F.struct("score", "hit_id", "hy"), F.struct("score", F.negative("hit_id"))).alias("m"))
+    near = similar_pairs(refs.select(F.lower("title").alias("x")), h.select(F.col("ht").alias("y")), doubtful, best=True).withColumnsRenamed({"x": "rt", "y": "ht"})
+    top = near.join(h, "ht").groupBy("rt").agg(F.max_by(F.struct("score", "hit_id", "hy"), F.struct("score", F.negative("hit_id"))).alias("m"))
     j = refs.withColumn("rt", F.lower("title")).join(top, "rt", "left")
     off = F.col("year").isNotNull() & F.col("m.hy").isNotNull() & (F.abs(F.col("year") - F.col("m.hy")) > 1)
     status = F.when(F.col("m").isNull(), "NOT VERIFIED").when(F.col("m.score") < sure, "SUSPICIOUS").when(off, "PARTIALLY VERIFIED").otherwise("VERIFIED")

@@ -16,3 +16,16 @@ def test_title_groups_equal_sequential(spark):
     hits = spark.createDataFrame(list(enumerate(TITLES)), "hit_id long, title string")
     assert {r.id: r.leader for r in web.title_groups(hits).collect()} == lead
     assert lead[2] == lead[3] == lead[6] == 0 and lead[4] == 1
+
+
+def test_search_status_equals_brute_force(spark):
+    hits = [(i, t, 2001) for i, t in enumerate(TITLES)]
+    refs = [(1, "Libary prise indeks and enerdgy uze", 2001), (2, "Yield of millet under drip irrigation", 2009), (3, "Wholesale matters of others", 2001), (4, "milet yeild under drip irigation dry saesons in the", 2001), (5, None, 2001), (6, "Libery prais indecks ant enargy uses", 2001)]
+    want = {}
+    for r, t, y in refs:
+        top = max((-1, 0), *((s, -h) for h, x, _ in hits if x and t and (s := token_set_ratio(t.lower(), x.lower())) >= 70), (-1, 0))
+        want[r] = "NOT VERIFIED" if top[0] < 0 else "SUSPICIOUS" if top[0] < 85 else "PARTIALLY VERIFIED" if abs(y - 2001) > 1 else "VERIFIED", -top[1] if top[0] >= 85 else None
+    got = web.search_status(spark.createDataFrame(refs, "ref_id long, title string, year int"), spark.createDataFrame(hits, "hit_id long, title string, year int"))
+    assert {r.ref_id: (r.status, r.hit_id) for r in got.collect()} == want
+    # All words of these differ from those of the hit they are like.
+    assert want[6][0] == "SUSPICIOUS"
