@@ -86,11 +86,14 @@ def semantic_first(docs: DataFrame, src: DataFrame, threshold: float = SEMANTIC,
     return docs.join(first, "clean").select("doc_id", "sent_idx", "m.source_id", "m.src_idx", F.round("m.score", 1).alias("score"))
 
 
-def staged_matches(docs: DataFrame, src: DataFrame) -> DataFrame:
-    """All stages: (doc_id, sent_idx, source_id, src_idx, score, algorithm), at most one match per sentence."""
+def staged_matches(docs: DataFrame, src: DataFrame, semantic: bool = True) -> DataFrame:
+    """All stages, or all but the semantic one: (doc_id, sent_idx, source_id, src_idx, score, algorithm), at most one match
+    per sentence."""
     keys = ["doc_id", "sent_idx"]
     exact = exact_matches(docs, src).withColumn("score", F.lit(100.0)).withColumn("algorithm", F.lit("Exact Match"))
     rest = docs.join(exact.select(*keys), keys, "left_anti")
     fuzzy = fuzzy_best(rest, src).withColumn("algorithm", F.lit("Fuzzy Match"))
+    if not semantic:
+        return exact.unionByName(fuzzy)
     rest = rest.join(fuzzy.select(*keys), keys, "left_anti")
     return exact.unionByName(fuzzy).unionByName(semantic_first(rest, src).withColumn("algorithm", F.lit("Semantic Match")))

@@ -310,12 +310,19 @@ def marker_intersect(spark, d):
 # Scores and register
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d)
-    s = doc_sentences(spark, d)
-    m = match.exact_equal(s, source_sentences(spark, d)).join(s.select("doc_id", "sent_idx", text.word_count(F.col("sentence")).alias("words")), ["doc_id", "sent_idx"])
-    sizes = t.select("doc_id", text.word_count(F.coalesce("text", F.lit(""))).alias("doc_words"))
-    return score.breakdown(m.withColumn("algorithm", F.lit("Exact Match")), sizes)
+def equal_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match.exact_equal(doc_sentences(spark, d), source_sentences(spark, d)).withColumn("algorithm", F.lit("Exact Match"))
+
+
+def staged(spark: SparkSession, d: str) -> DataFrame:
+    """Exact matches, containment included, and fuzzy ones."""
+    return cut(match.staged_matches(cut(doc_sentences(spark, d)), cut(source_sentences(spark, d)), semantic=False))
+
+
+def scored(spark: SparkSession, d: str, matches: Callable[[SparkSession, str], DataFrame] = equal_matches) -> DataFrame:
+    words = doc_sentences(spark, d).select("doc_id", "sent_idx", text.word_count(F.col("sentence")).alias("words"))
+    sizes = docs(spark, d).select("doc_id", text.word_count(F.coalesce("text", F.lit(""))).alias("doc_words"))
+    return score.breakdown(matches(spark, d).join(words, ["doc_id", "sent_idx"]), sizes)
 
 
 @query(sql.SCORES)
@@ -325,21 +332,33 @@ def score_breakdown(spark, d):
 
 @query(f"WITH sc AS ({sql.SCORES}), b AS (SELECT unnest(['Very Low', 'Low', 'Moderate', 'High', 'Very High']) AS risk_level) SELECT b.risk_level, count(sc.doc_id) AS n, round(count(sc.doc_id) * 1.0 / sum(count(sc.doc_id)) OVER (), 6) AS share FROM b LEFT JOIN sc USING (risk_level) GROUP BY 1")
 def risk_distribution(spark, d):
+    return risk_shares(spark, scored(spark, d))
+
+
+def risk_shares(spark: SparkSession, scores: DataFrame) -> DataFrame:
     bands = spark.createDataFrame([(x,) for x, _ in (*score.RISK_BANDS, ("Very High", 0))], "risk_level string")
-    n = bands.join(scored(spark, d).groupBy("risk_level").agg(F.count("*").alias("n")), "risk_level", "left").na.fill(0, ["n"])
+    n = bands.join(scores.groupBy("risk_level").agg(F.count("*").alias("n")), "risk_level", "left").na.fill(0, ["n"])
     return n.select("risk_level", "n", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))), 6).alias("share"))
 
 
 @query(f"SELECT count(*) AS total_docs, round(avg(overall_pct), 6) AS avg_similarity, max(overall_pct) AS highest_similarity, count(*) FILTER (risk_level IN ('High', 'Very High')) AS high_risk FROM ({sql.SCORES})")
 def dashboard_kpis(spark, d):
-    return scored(spark, d).agg(F.count("*").alias("total_docs"), F.round(F.avg("overall_pct"), 6).alias("avg_similarity"), F.max("overall_pct").alias("highest_similarity"), F.count_if(F.col("risk_level").isin("High", "Very High")).alias("high_risk"))
+    return kpis(scored(spark, d))
+
+
+def kpis(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.count("*").alias("total_docs"), F.round(F.avg("overall_pct"), 6).alias("avg_similarity"), F.max("overall_pct").alias("highest_similarity"), F.count_if(F.col("risk_level").isin("High", "Very High")).alias("high_risk"))
 
 
 @query(sql.SECTION_SCORES)
 def section_scores(spark, d):
+    return by_section(spark, d, equal_matches(spark, d))
+
+
+def by_section(spark: SparkSession, d: str, matches: DataFrame) -> DataFrame:
     t = docs(spark, d)
     at = F.expr("locate(sentence, text)") - 1
-    m = match.exact_equal(doc_sentences(spark, d), source_sentences(spark, d)).join(segment.fast_sentences(t, "doc_id", "text"), ["doc_id", "sent_idx"]).join(t.select("doc_id", "text"), "doc_id").select("doc_id", at.alias("at"), text.word_count(F.col("sentence")).alias("words"))
+    m = matches.join(segment.fast_sentences(t, "doc_id", "text"), ["doc_id", "sent_idx"]).join(t.select("doc_id", "text"), "doc_id").select("doc_id", at.alias("at"), text.word_count(F.col("sentence")).alias("words"))
     s = profile.sections(t, "doc_id", "text")
     return m.join(s, "doc_id").where("at >= start_char and at < end_char").groupBy("doc_id", "section").agg(F.sum("words").cast("long").alias("matched_words"), F.count("*").alias("matches"))
 
@@ -387,7 +406,10 @@ def cited_minus_available(spark, d):
 
 @query(f"WITH {sql.DOC_CLEAN}, {sql.SRC_CLEAN}, f AS (SELECT clean, min(source_id * 1000000 + sent_idx) AS k FROM sc GROUP BY clean) SELECT k // 1000000 AS source_id, min(doc_id) AS first_doc_id, count(*) AS matches, count(DISTINCT doc_id) AS n_docs FROM dc JOIN f USING (clean) GROUP BY 1")
 def matched_sources_first(spark, d):
-    m = match.exact_equal(doc_sentences(spark, d), source_sentences(spark, d))
+    return by_source(equal_matches(spark, d))
+
+
+def by_source(m: DataFrame) -> DataFrame:
     return m.groupBy("source_id").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("matches"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -419,7 +441,10 @@ def sources_by_date(spark, d):
 
 @query(f"WITH {sql.DOC_CLEAN}, {sql.SRC_CLEAN}, f AS (SELECT clean, min(source_id * 1000000 + sent_idx) AS k FROM sc GROUP BY clean) SELECT doc_id, sent_idx, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS match_id FROM dc JOIN f USING (clean)")
 def match_export(spark, d):
-    m = match.exact_equal(doc_sentences(spark, d), source_sentences(spark, d))
+    return exported(equal_matches(spark, d))
+
+
+def exported(m: DataFrame) -> DataFrame:
     return sinks.match_export(m).select("doc_id", F.col("sent_idx").cast("long").alias("sent_idx"), F.col("match_id").cast("long").alias("match_id"))
 
 
@@ -435,3 +460,36 @@ def settings_overlay(spark, d):
     stored = read_table(spark, d, "events").where("event_type <> 'error'").groupBy(F.col("event_type").alias("setting")).agg(F.lit("stored").alias("origin"))
     defaults = spark.createDataFrame([(k, "default") for k in ("click", "error", "theme")], "setting string, origin string")
     return sinks.upsert(defaults, stored.join(defaults, "setting", "left_semi"), "setting")
+
+
+# The same over exact and fuzzy matches; the SQL of the queries above holds them to equal sentences.
+
+
+@query()
+def staged_score_breakdown(spark, d):
+    return scored(spark, d, staged)
+
+
+@query()
+def staged_risk_distribution(spark, d):
+    return risk_shares(spark, scored(spark, d, staged))
+
+
+@query()
+def staged_dashboard_kpis(spark, d):
+    return kpis(scored(spark, d, staged))
+
+
+@query()
+def staged_section_scores(spark, d):
+    return by_section(spark, d, staged(spark, d))
+
+
+@query()
+def staged_matched_sources_first(spark, d):
+    return by_source(staged(spark, d))
+
+
+@query()
+def staged_match_export(spark, d):
+    return exported(staged(spark, d))
