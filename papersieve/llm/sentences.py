@@ -11,6 +11,7 @@ are code points counted from 0, the end is exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,13 +38,20 @@ ORDINAL_FOLLOWERS = frozenset(
 TERMINATORS = ".?!।॥。！？…"
 FULL_STOPS_CJK = "。！？"
 CLOSERS = "\"'”’»)]）」』】›“"
-OPENERS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "“": "”", "«": "»", "„": "“", "‘": "’"}
+OPENERS = {"(": ")", "[": "]", "（": "）", "「": "」", "『": "』", "【": "】", "“": "”", "«": "»", "„": "“"}
 CLOSING = {v: k for k, v in OPENERS.items()}
+_MARK = re.compile("[" + re.escape("".join(sorted({*OPENERS, *CLOSING, '"'}))) + "]")
 
 _CANDIDATE = re.compile(r"[.?!।॥。！？…]+(?:[   ]?[»]|[\"'”’)\]）」』】›“])*")
 _BLANK_LINE = re.compile(r"\n[ \t ]*(?:\n[ \t ]*)+")
 _HEADING_NUMBER = re.compile(r"^\s*(?:\d+(?:\.\d+)*|[IVX]+|[A-Z])[.)]\s+\S")
-_WORD = re.compile(r"[^\s(\[„“«\"'‘「（]+$")
+_WORD_BREAK = re.compile(r"[\s(\[„“«\"'‘「（]")
+_LETTERS = re.compile(r"\w+")
+_GAP = re.compile("[ \t\n\u00a0\u202f]*")
+_ANY_BLANK = re.compile(r"\s*")
+_BLANK_RUN = re.compile("[ \u00a0\n]+")
+_RUN = re.compile(r"[.?!।॥。！？…]+")
+_SHORT_DEVANAGARI = re.compile(r"[ऀ-ॿ]{1,4}")
 _THAI = re.compile(r"[฀-๿]")
 
 
@@ -74,65 +82,83 @@ def _is_heading(line: str, nxt: str, prev_closed: bool) -> bool:
     return len(s) <= 45 and not s[0].islower()
 
 
-def _balance(text: str) -> int:
-    """Unmatched openers and closers of a span; straight double quotes count by parity."""
-    stack: list[str] = []
-    bad = 0
-    for i, c in enumerate(text):
-        if c == "“" and stack and stack[-1] == "„":
-            stack.pop()
-        elif c in OPENERS and not (c == "‘" or c == "’"):
-            stack.append(c)
-        elif c in CLOSING and c != "’":
-            if stack and OPENERS[stack[-1]] == c:
-                stack.pop()
-            else:
-                bad += 1
-    return bad + len(stack) + text.count('"') % 2
-
-
-class _Cut:
-    __slots__ = ("pos", "kind", "score")
-
-    def __init__(self, pos: int, kind: str, score: float):
-        self.pos, self.kind, self.score = pos, kind, score
-
-
-def _cut_score(block: str, start: int, end: int) -> float:
-    """Evidence for a boundary after the terminator run block[start:end], from the closing and the opening words."""
-    run = block[start:end]
-    after = block[end:]
-    rest = after.lstrip(" \t\n  ")
-    gap = len(after) - len(rest)
-    if not rest:
+class _Block:
+    """A paragraph with what the spans of the dynamic programme ask for, each in constant or logarithmic time."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.size = len(text)
+        self.breaks = [m.start() for m in _WORD_BREAK.finditer(text)]
+
+    def word_start(self, end: int) -> int:
+        """Start of the word that ends before a place."""
+        k = bisect_left(self.breaks, end)
+        return self.breaks[k - 1] + 1 if k else 0
+
+    def lower_start(self, at: int) -> bool:
+        """The first word is in small letters throughout; a unit such as pH is not."""
+        return self.text[at : at + 1].islower() and (m := _LETTERS.match(self.text, at)) is not None and m.group().islower()
+
+
+def _brackets(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Prefix sums over the brackets and quotation marks of a block: (places, depth behind each, unmatched so far,
+    straight double quotes so far). Pairs are matched once for the whole block."""
+    at, matched, stack, straight = [], [], [], []
+    for m in _MARK.finditer(text):
+        c, k = m.group(), len(at)
+        at.append(m.start())
+        matched.append(0)
+        straight.append(c == '"')
+        if c == "“" and stack and text[at[stack[-1]]] == "„":
+            matched[stack.pop()] = 1
+            matched[k] = -1
+        elif c in OPENERS:
+            stack.append(k)
+        elif c in CLOSING and stack and OPENERS[text[at[stack[-1]]]] == c:
+            matched[stack.pop()] = 1
+            matched[k] = -1
+    depth, lone, quotes = [0], [0], [0]
+    for x, q in zip(matched, straight):
+        depth.append(depth[-1] + x)
+        lone.append(lone[-1] + (not x and not q))
+        quotes.append(quotes[-1] + q)
+    return at, depth, lone, quotes
+
+
+def _cut_score(b: _Block, start: int, end: int) -> float:
+    """Evidence for a boundary after the terminator run text[start:end], from the closing and the opening words."""
+    block = b.text
+    at = _GAP.match(block, end).end()
+    gap = at - end
+    if at == b.size:
         return 6.0
-    nxt = rest[0]
-    if run[0] in FULL_STOPS_CJK:
+    first, last, nxt = block[start], block[end - 1], block[at]
+    if first in FULL_STOPS_CJK:
         # A quotation that goes on with its reporting clause is one unit with it.
-        if run[-1] in "」』）】" and nxt in "とというのがはをにで":
+        if last in "」』）】" and nxt in "とというのがはをにで":
             return -8.0
         return 5.0
-    if run[0] in "।॥":
+    if first in "।॥":
         return 5.0 if nxt not in ",;" else -6.0
     if nxt in ",;:":
         return -8.0
-    before = block[:start]
-    word = (_WORD.search(before) or [""])[0]
-    low = word.lower().lstrip("¿¡")
-    if run.startswith("."):
+    if first == ".":
+        ws = b.word_start(start)
         if gap == 0:
             # No blank: inside decimals, addresses, initials; a lost blank only before a capital after a real word.
-            if nxt.isdigit() or _lower_start(rest) or nxt in "./@-_":
+            if nxt.isdigit() or b.lower_start(at) or nxt in "./@-_":
                 return -9.0
-            if not (nxt.isupper() or nxt in "¿¡«“„\"(") or len(word) <= 2 or not word[-1:].isalpha() or "." in word:
+            before = block[start - 1 : start] if ws < start else ""
+            if not (nxt.isupper() or nxt in "¿¡«“„\"(") or start - ws <= 2 or not before.isalpha() or block.rfind(".", ws, start) >= 0:
                 return -9.0
-            return 2.5 if word[-1:].islower() else -4.0
-        if _lower_start(rest):
+            return 2.5 if before.islower() else -4.0
+        if b.lower_start(at):
             return -7.0
-        if run.startswith("..") or run.startswith("…"):
+        if block.startswith("..", start):
             return 3.0
-        bare = low.rstrip(".")
-        if len(run) == 1:
+        if end - start == 1:
+            word = block[ws:start]
+            bare = word.lower().lstrip("¿¡").rstrip(".")
             if bare in SOFT_ABBREVIATIONS:
                 return -6.0 if nxt.isdigit() else 2.0
             if bare in ABBREVIATIONS:
@@ -142,14 +168,14 @@ def _cut_score(block: str, start: int, end: int) -> float:
             if word[:-1] and "." in word and all(len(x) <= 1 for x in word.split(".")):
                 return -5.0 if nxt.isupper() is False else 0.5
             if bare.isdigit() and len(bare) <= 2:
-                follower = (re.match(r"\w+", rest) or [""])[0].lower()
+                follower = m.group().lower() if (m := _LETTERS.match(block, at)) else ""
                 if follower in ORDINAL_FOLLOWERS:
                     return -8.0
-            if re.fullmatch(r"[ऀ-ॿ]{1,4}", bare) and nxt.isdigit():
+            if nxt.isdigit() and _SHORT_DEVANAGARI.fullmatch(bare):
                 return -2.0
         return 4.0
     # Question and exclamation marks.
-    if _lower_start(rest):
+    if b.lower_start(at):
         return -7.0
     if gap == 0 and not (nxt.isupper() or nxt in "¿¡«“„\"(" or ord(nxt) > 0x2E7F):
         return -5.0
@@ -166,73 +192,104 @@ def _length_score(n: int) -> float:
     return 0.0
 
 
-def _lower_start(text: str) -> bool:
-    """The first word is in small letters throughout; a unit such as pH is not."""
-    return text[:1].islower() and (re.match(r"\w+", text) or [""])[0].islower()
+LEAST_CUT = -2.5  # of a cut's own score and its opening score, below which no best covering holds the cut
 
 
-def _open_score(text: str) -> float:
-    ch = text[0]
-    if _lower_start(text):
-        return -2.0
-    if ch in ",;:)]）」”»":
-        return -4.0
-    return 0.0
-
-
-def _block_spans(block: str) -> list[tuple[int, int]]:
-    """Best covering of one paragraph by sentence spans, as raw offsets (blanks not yet trimmed)."""
-    cuts = [_Cut(0, "start", 0.0)]
+def _candidates(b: _Block) -> dict[int, float]:
+    """Places that may end a sentence, with the score of their closing and opening words."""
+    block = b.text
     found: dict[int, float] = {}
     for m in _CANDIDATE.finditer(block):
-        found[m.end()] = max(found.get(m.end(), -99.0), _cut_score(block, m.start(), m.end()))
-        if m.end() - m.start() > 1 and m.group()[-1] in "\"'“" and m.end() < len(block) and block[m.end()].isalnum():
+        start, end = m.start(), m.end()
+        found[end] = max(found.get(end, -99.0), _cut_score(b, start, end))
+        if end - start > 1 and block[end - 1] in "\"'“" and end < b.size and block[end].isalnum():
             # The mark may open the next quotation instead of closing this one.
-            stop = m.start() + len(re.match(r"[.?!।॥。！？…]+", m.group())[0])
-            found[stop] = _cut_score(block, m.start(), stop)
-    for m in re.finditer(r"[  \n]+", block):
-        a, b = m.start(), m.end()
-        if a == 0 or b >= len(block):
+            stop = _RUN.match(block, start).end()
+            found[stop] = _cut_score(b, start, stop)
+    # Scripts without full stops: a blank next to Thai text may end a sentence. A hard line break by itself is no
+    # evidence that could reach LEAST_CUT.
+    for m in _BLANK_RUN.finditer(block) if _THAI.search(block) else ():
+        i, j = m.start(), m.end()
+        if i == 0 or j >= b.size or i in found:
             continue
-        p, q = block[a - 1], block[b]
-        # Scripts without full stops: a blank next to Thai text may end a sentence.
-        if (_is_thai(p) or (p.isdigit() and _THAI.search(block[max(0, a - 12) : a]))) and a not in found:
-            thai_next = _is_thai(q)
-            found[a] = 3.0 if thai_next else (-3.0 if q in "(（" or q.isdigit() else 1.5)
-        elif _is_thai(q) and p in ")）" and a not in found:
-            found[a] = -3.0
-        elif "\n" in m.group() and a not in found:
-            # Hard line break: weak evidence, unless a new opening follows an unfinished line.
-            found[a] = -4.0
-    cuts += [_Cut(p, "in", s) for p, s in sorted(found.items()) if 0 < p < len(block)]
-    cuts.append(_Cut(len(block), "end", 0.0))
-    n = len(cuts)
-    best = [float("-inf")] * n
-    back = [0] * n
-    best[0] = 0.0
-    for j in range(1, n):
-        end = cuts[j].pos
-        for i in range(j - 1, -1, -1):
-            if j - i > 60 and end - cuts[i].pos > 3000:
-                break  # the length score alone already outweighs every inner cut
-            if best[i] == float("-inf"):
-                continue
-            span = block[cuts[i].pos : end]
-            text = span.strip()
-            if not text:
-                continue
-            score = best[i] + cuts[j].score + _length_score(len(text)) - 5.0 * min(3, _balance(text))
-            if i:
-                score += _open_score(text)
-            if score > best[j]:
-                best[j], back[j] = score, i
-        if best[j] == float("-inf"):  # only blanks since the last cut
-            best[j], back[j] = best[j - 1], back[j - 1]
-    out = []
-    j = n - 1
-    while j > 0:
-        out.append((cuts[back[j]].pos, cuts[j].pos))
-        j = back[j]
+        p, q = block[i - 1], block[j]
+        if _is_thai(p) or (p.isdigit() and _THAI.search(block, max(0, i - 12), i)):
+            found[i] = 3.0 if _is_thai(q) else (-3.0 if q in "(（" or q.isdigit() else 1.5)
+        elif _is_thai(q) and p in ")）":
+            found[i] = -3.0
+    return found
+
+
+def _block_spans(block: str) -> list[tuple[int, int]]:
+    """Best covering of one paragraph by sentence spans, as offsets without outer blanks.
+
+    The score of two neighbouring spans exceeds that of their union by at most 2.5 besides the score of the cut between
+    them (the length score by no more, and the union has no more unmatched marks), so cuts that cost more are left out
+    beforehand. Spans are tried from the nearest start backwards until no earlier one can win; beyond 600 characters the
+    length score is linear, so one start is the best of all earlier ones with as many unmatched marks. All bounds are
+    exact.
+    """
+    b = _Block(block)
+    heads, tails, scores, opens = [_ANY_BLANK.match(block).end()], [], [], [0.0]
+    if heads[0] == b.size:
+        return []
+    for p, score in sorted(_candidates(b).items()):
+        if not 0 < p < b.size:
+            continue
+        head = _ANY_BLANK.match(block, p).end()
+        if head == b.size:
+            break
+        opening = -2.0 if b.lower_start(head) else -4.0 if block[head] in ",;:)]）」”»" else 0.0
+        if score + opening >= LEAST_CUT and p > heads[-1]:
+            tails.append(p)
+            scores.append(score)
+            heads.append(head)
+            opens.append(opening)
+    tails.append(len(block.rstrip()))
+    scores.append(0.0)
+    n = len(heads)
+    if n == 1:
+        return [(heads[0], tails[0])]
+    at, depth, lone, quotes = _brackets(block)
+    mark_head, mark_tail = [bisect_left(at, h) for h in heads], [bisect_left(at, t) for t in tails]
+    # worth[i]: of the covering before head i with the opening of the span there; most: the greatest so far; far: the
+    # start of the greatest worth[i] + heads[i] / 400, which is the best one for spans on the long end of the length score.
+    worth, most, far, back = [0.0], [0.0], [0], []
+    for j in range(n):
+        tail, mark, value, start, low = tails[j], mark_tail[j], float("-inf"), j, depth[mark_tail[j]]
+        known = mark
+        for i in range(j, -1, -1):
+            length, k = tail - heads[i], mark_head[i]
+            if k < known:
+                low = min(low, min(depth[k:known]))
+                known = k
+            # Unmatched marks that every span from here or from further back has, too.
+            least = 5.0 * min(3, lone[mark] - lone[k] + depth[mark] - low)
+            if length >= 8 and most[i] + _length_score(length) - least <= value:
+                break
+            bad = depth[k] + depth[mark] - 2 * low + lone[mark] - lone[k] + (quotes[mark] - quotes[k]) % 2
+            score = worth[i] + _length_score(length) - 5.0 * min(3, bad)
+            if score > value:
+                value, start = score, i
+            if length > 600 and far[i] < i:
+                q = mark_head[far[i]]
+                lowest = min(low, min(depth[q:known], default=low))
+                bad = depth[q] + depth[mark] - 2 * lowest + lone[mark] - lone[q] + (quotes[mark] - quotes[q]) % 2
+                if 5.0 * min(3, bad) == least:
+                    score = worth[far[i]] + _length_score(tail - heads[far[i]]) - least
+                    if score > value:
+                        value, start = score, far[i]
+                    break
+        back.append(start)
+        if j + 1 < n:
+            worth.append(value + scores[j] + opens[j + 1])
+            most.append(max(most[-1], worth[-1]))
+            best = far[-1]
+            far.append(j + 1 if worth[j + 1] + heads[j + 1] / 400 > worth[best] + heads[best] / 400 else best)
+    out, j = [], n - 1
+    while j >= 0:
+        out.append((heads[back[j]], tails[j]))
+        j = back[j] - 1
     return out[::-1]
 
 
@@ -273,13 +330,11 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     out = []
     for a, b, heading in _blocks(text):
         block = text[a:b]
-        for s, e in [(0, len(block))] if heading else _block_spans(block):
-            piece = block[s:e]
-            left = len(piece) - len(piece.lstrip())
-            core = piece.strip()
-            if core:
-                out.append((a + s + left, a + s + left + len(core)))
-    return out
+        if heading:
+            out.append((a + len(block) - len(block.lstrip()), a + len(block.rstrip())))
+        else:
+            out += [(a + s, a + e) for s, e in _block_spans(block)]
+    return [(s, e) for s, e in out if s < e]
 
 
 def split_sentences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
