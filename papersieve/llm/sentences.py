@@ -11,7 +11,7 @@ are code points counted from 0, the end is exclusive.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,12 +88,19 @@ class _Block:
     def __init__(self, text: str):
         self.text = text
         self.size = len(text)
-        self.breaks = [m.start() for m in _WORD_BREAK.finditer(text)]
+        self.breaks: list[int] | None = None
 
     def word_start(self, end: int) -> int:
-        """Start of the word that ends before a place."""
-        k = bisect_left(self.breaks, end)
-        return self.breaks[k - 1] + 1 if k else 0
+        """Start of the word that ends before a place; the places of all breaks are listed once a word is very long."""
+        for k in range(end, max(0, end - 40), -1):
+            if _WORD_BREAK.match(self.text, k - 1):
+                return k
+        if end <= 40:
+            return 0
+        if self.breaks is None:
+            self.breaks = [m.end() for m in _WORD_BREAK.finditer(self.text)]
+        k = bisect_right(self.breaks, end)
+        return self.breaks[k - 1] if k else 0
 
     def lower_start(self, at: int) -> bool:
         """The first word is in small letters throughout; a unit such as pH is not."""
