@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 KAPPA = 1.4054651081081644  # 1 + ln(3/2): the weight of a gram that only one of two texts holds
@@ -121,3 +122,26 @@ def pair_tfidf_frame(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataF
     k2 = KAPPA * KAPPA
     square = lambda c, o: F.sum(F.when(F.col(o) > 0, 1.0).otherwise(k2) * F.col(c) * F.col(c))
     return f.groupBy(*keys).agg((100.0 * F.sum(F.col("a") * F.col("b")) / (F.sqrt(square("a", "b")) * F.sqrt(square("b", "a")))).alias("cosine"))
+
+
+def batch_tfidf(queries: DataFrame, corpus: DataFrame, least: float = 0.0) -> DataFrame:
+    """(q_id, c_id, cosine) in percent of all pairs with a common gram and at least so much, by one TF-IDF model of word
+    grams fitted on both sides (id, t).
+
+    A gram's weight is at most its idf, so a pair that reaches least has a gram of a query's heaviest ones: only the
+    grams of a query that hold more than 1 - (least / 100) ** 2 of its squared norm, the rarest first, look for partners,
+    and the others are added for the pairs found. Nothing is lost, and frequent grams seldom are keys.
+    """
+    of = lambda df, side: df.select(F.lit(side).alias("side"), "id", F.explode(grams(F.col("t"))).alias("g"))
+    f = of(queries, "q").unionByName(of(corpus, "c")).groupBy("side", "id", "g").agg(F.count("*").alias("f"))
+    total = queries.count() + corpus.count()
+    df = f.groupBy("g").agg((F.log(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"))
+    v = f.join(df, "g").withColumn("x", F.col("f") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("x") ** 2).over(W.partitionBy("side", "id")))
+    v = v.withColumn("x", F.col("x") / norm)
+    q, c = v.where("side = 'q'").select(F.col("id").alias("q_id"), "g", "idf", F.col("x").alias("a")), v.where("side = 'c'").select(F.col("id").alias("c_id"), "g", F.col("x").alias("b"))
+    before = F.coalesce(F.sum(F.col("a") ** 2).over(W.partitionBy("q_id").orderBy(F.desc("idf"), "g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    keys = q.withColumn("before", before).where(F.col("before") <= 1 - (least / 100) ** 2 + 1e-9).select("q_id", "g")
+    met = keys.join(c.select("c_id", "g"), "g").select("q_id", "c_id").distinct()
+    dot = met.join(q.select("q_id", "g", "a"), "q_id").join(c, ["c_id", "g"]).groupBy("q_id", "c_id").agg((100 * F.sum(F.col("a") * F.col("b"))).alias("cosine"))
+    return dot.where(F.col("cosine") >= least)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from papersieve.session import spread
 
@@ -15,7 +16,7 @@ from papersieve.session import spread
 IEEE = r"\[\s*(\d+(?:\s*[-–,\s]\s*\d+)*)\s*\]"
 AUTHOR_YEAR = r"(\b[A-Z][a-zA-Z]+(?:\s+et\s+al\.)?\s*,?\s*\((?:19\d{2}|20\d{2})[a-z]?\)|\(\s*[A-Z][a-zA-Z]+(?:(?:\s+(?:and|&)\s+|\s*,\s*)[A-Z][a-zA-Z]+)?(?:\s+et\s+al\.)?\s*,\s*(?:19\d{2}|20\d{2})[a-z]?\s*(?:,\s*p{1,2}\.?\s*\d+)?\s*\))"
 DOI = r"\b(10\.\d{4,9}/[-._;()/:A-Za-z0-9]+)\b"
-URL = r"(https?://[^\s<>\"]+)"
+URL = r"(https?://(?:www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}\.[a-zA-Z0-9()]{1,6}\b(?:[-a-zA-Z0-9()@:%_\+.~#?&//=]*))"
 DOUBLE_QUOTES = r'"([^"\n]{10,500})"'
 SINGLE_QUOTES = r"'([^'\n]{15,500})'"
 KINDS = (("IEEE", IEEE), ("Author-Year", AUTHOR_YEAR), ("DOI", DOI), ("URL", URL))
@@ -26,7 +27,7 @@ def extract(col: Column) -> Column:
     """Array of (citation_type, citation_text) in the order IEEE, Author-Year, DOI, URL."""
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(kind).alias("citation_type"), x.alias("citation_text")))
+        return F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("citation_type"), x.alias("citation_text")))
 
     return F.concat(*(of(k, p) for k, p in KINDS))
 
@@ -38,11 +39,11 @@ def citations(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def expand_numbers(col: Column) -> Column:
     """Numbers of an IEEE citation body: commas split, ranges with a hyphen or dash are filled; descending ranges and
-    blank-separated numbers give none."""
-    parts = F.filter(F.transform(F.split(col, "[,;]"), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+$|^\d+\s*[-–]\s*\d+$"))
+    blank-separated numbers give none, and numbers of more than six digits are no reference numbers."""
+    parts = F.filter(F.transform(F.split(col, "[,;]"), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d{1,6}$|^\d{1,6}\s*[-–]\s*\d{1,6}$"))
     low = lambda p: F.regexp_extract(p, r"^(\d+)", 1).cast("int")
     high = lambda p: F.regexp_extract(p, r"(\d+)$", 1).cast("int")
-    return F.flatten(F.transform(parts, lambda p: F.when((low(p) <= high(p)) & (high(p) - low(p) < 1000), F.sequence(low(p), high(p))).otherwise(F.array().cast("array<int>"))))
+    return F.flatten(F.transform(parts, lambda p: F.when(low(p) <= high(p), F.sequence(low(p), high(p))).otherwise(F.array().cast("array<int>"))))
 
 
 def cited_numbers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,11 +111,10 @@ def spans(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def annotate(sentences: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """Adds is_quoted and is_cited to sentences (id, start_char, end_char): overlap with a quotation; a citation inside,
     near the end, or up to 50 characters behind and before the next sentence; or an adjacent citation of the first
-    overlapping quotation. Spans are one array per document, so no interval join is needed."""
-    per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "kind", "has_adjacent_citation"))).alias("spans"))
-    from pyspark.sql import Window
-
-    nxt = F.lead("start_char").over(Window.partitionBy(id_col).orderBy("start_char"))
+    overlapping quotation, double quotes before single ones. Spans are one array per document, so no interval join is
+    needed."""
+    per = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct((F.col("kind") == "Single quote").alias("single"), "start_char", "end_char", "kind", "has_adjacent_citation"))).alias("spans"))
+    nxt = F.lead("start_char").over(W.partitionBy(id_col).orderBy("start_char"))
     s = sentences.withColumn("next_start", F.coalesce(nxt, F.lit(2**31 - 1))).join(per, id_col, "left")
     quotes = F.filter("spans", lambda x: x.kind.endswith("quote") & (x.end_char > F.col("start_char")) & (x.start_char < F.col("end_char")))
     cite = F.exists(

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from papersieve.functions.setjoin import similar_pairs
 from papersieve.functions.similarity import pair_tfidf, partial_udf
 from papersieve.functions.text import tokens
+from papersieve.session import cut
 
+EXACT, FUZZY_MATCH, SEMANTIC_MATCH = "Exact Match", "Fuzzy Match", "Semantic Similarity"
 FUZZY = 80.0
 SEMANTIC = 75.0
 GATE = 55.0
+FIRST = 25  # source sentences, the first of all, that the semantic stage tries
 
 
 def source_index(src: DataFrame) -> DataFrame:
@@ -53,18 +56,6 @@ def exact_matches(docs: DataFrame, src: DataFrame) -> DataFrame:
     return docs.join(first, "clean").select("doc_id", "sent_idx", "at.source_id", "at.src_idx")
 
 
-def semantic_candidates(d: DataFrame, s: DataFrame, keys: int = 6) -> DataFrame:
-    """(clean, other): distinct sentences that share one of the rarest words of the document's sentence.
-
-    Pairs that share no rare word are not proposed, a join that is linear in the text; only the semantic stage uses it.
-    """
-    words = s.select(F.col("clean").alias("other"), F.explode(F.array_distinct(tokens(F.col("clean")))).alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    mine = d.select("clean", F.explode(F.array_distinct(tokens(F.col("clean")))).alias("w")).join(counts, "w")
-    best = mine.groupBy("clean").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "w"))), 1, keys).alias("k")).select("clean", F.explode("k.w").alias("w"))
-    return best.join(words, "w").select("clean", "other").distinct()
-
-
 def fuzzy_best(docs: DataFrame, src: DataFrame, threshold: float = FUZZY) -> DataFrame:
     """(doc_id, sent_idx, source_id, src_idx, score): the best source sentence by token set ratio, from threshold up."""
     d, s = docs.select("clean").distinct(), source_index(src)
@@ -75,25 +66,30 @@ def fuzzy_best(docs: DataFrame, src: DataFrame, threshold: float = FUZZY) -> Dat
 
 
 def semantic_first(docs: DataFrame, src: DataFrame, threshold: float = SEMANTIC, min_tokens: int = 8) -> DataFrame:
-    """(doc_id, sent_idx, source_id, src_idx, score): the first source sentence above the gate that reaches threshold by
-    the TF-IDF cosine of the pair."""
-    d = docs.where(F.size(tokens(F.col("clean"))) >= min_tokens).select("clean").distinct()
-    s = source_index(src)
-    gated = semantic_candidates(d, s).where(partial_udf("clean", "other") > GATE)
-    scored = gated.withColumn("score", pair_tfidf(F.col("clean"), F.col("other"))).where(F.col("score") >= threshold)
-    at = scored.join(s.withColumnRenamed("clean", "other"), "other")
-    first = at.groupBy("clean").agg(F.min(F.struct("source_id", "src_idx", "score")).alias("m"))
-    return docs.join(first, "clean").select("doc_id", "sent_idx", "m.source_id", "m.src_idx", F.round("m.score", 1).alias("score"))
+    """(doc_id, sent_idx, source_id, src_idx, score): the first of the FIRST source sentences that reaches the threshold by
+    the TF-IDF cosine of the pair and the gate by its best window. Both read the sentence as it stands for the cosine and
+    its cleaned form for the window; what shares no word is left out beforehand, as its cosine is 0."""
+    first = src.orderBy("source_id", "sent_idx").limit(FIRST).select("source_id", "sent_idx", "sentence", "clean").collect()
+    d = docs.where(F.size(tokens(F.col("clean"))) >= min_tokens).select("sentence", "clean").distinct()
+    if not first:
+        return docs.select("doc_id", "sent_idx", F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("src_idx"), F.lit(0.0).alias("score")).limit(0)
+    few = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(r.source_id).alias("source_id"), F.lit(r.sent_idx).alias("src_idx"), F.lit(r.sentence).alias("other"), F.lit(r.clean).alias("other_clean")) for k, r in enumerate(first)])
+    tried = d.select("sentence", "clean", F.explode(few).alias("o")).select("sentence", "clean", "o.*").where(F.arrays_overlap(tokens(F.col("clean")), tokens(F.col("other_clean"))))
+    scored = tried.withColumn("score", pair_tfidf(F.col("sentence"), F.col("other"))).where(F.col("score") >= threshold)
+    gated = scored.where(partial_udf("clean", "other_clean") > GATE)
+    best = gated.groupBy("sentence", "clean").agg(F.min(F.struct("place", "source_id", "src_idx", "score")).alias("m"))
+    return docs.join(best, ["sentence", "clean"]).select("doc_id", "sent_idx", "m.source_id", "m.src_idx", F.round("m.score", 1).alias("score"))
 
 
 def staged_matches(docs: DataFrame, src: DataFrame, semantic: bool = True) -> DataFrame:
     """All stages, or all but the semantic one: (doc_id, sent_idx, source_id, src_idx, score, algorithm), at most one match
-    per sentence."""
+    per sentence. Each stage is written once, as the next one and the result both read it."""
     keys = ["doc_id", "sent_idx"]
-    exact = exact_matches(docs, src).withColumn("score", F.lit(100.0)).withColumn("algorithm", F.lit("Exact Match"))
+    exact = cut(exact_matches(docs, src).withColumn("score", F.lit(100.0)).withColumn("algorithm", F.lit(EXACT)))
     rest = docs.join(exact.select(*keys), keys, "left_anti")
-    fuzzy = fuzzy_best(rest, src).withColumn("algorithm", F.lit("Fuzzy Match"))
+    fuzzy = fuzzy_best(rest, src).withColumn("algorithm", F.lit(FUZZY_MATCH))
     if not semantic:
         return exact.unionByName(fuzzy)
+    fuzzy = cut(fuzzy)
     rest = rest.join(fuzzy.select(*keys), keys, "left_anti")
-    return exact.unionByName(fuzzy).unionByName(semantic_first(rest, src).withColumn("algorithm", F.lit("Semantic Match")))
+    return exact.unionByName(fuzzy).unionByName(semantic_first(rest, src).withColumn("algorithm", F.lit(SEMANTIC_MATCH)))

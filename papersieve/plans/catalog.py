@@ -297,7 +297,7 @@ def machine_likelihood(spark, d):
 @query()
 def common_phrases(spark, d):
     s = segment.fast_sentences(docs(spark, d), "doc_id", "text").select("sentence").distinct()
-    return s.where(profile.common_phrase_udf("sentence"))
+    return s.where(profile.common_phrase(F.col("sentence")))
 
 
 @query(f"WITH {sql.DOC_CLEAN}, w AS (SELECT DISTINCT doc_id, unnest(string_split(clean, ' ')) AS w FROM dc) SELECT doc_id, count(*) FILTER (w IN ('the', 'of', 'and', 'in', 'is')) AS marker_hits, count(*) AS n_words FROM w GROUP BY 1")

@@ -85,12 +85,12 @@ TOPK = """WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, CAST(embedding AS DOUBL
 p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, greatest(0, least(100, list_cosine_similarity(a.e, b.e) * 100)) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(s, 4) AS cosine_pct FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k FROM p) WHERE k <= 5"""
 
-_C = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS citation_type, unnest(regexp_extract_all(text, {q(p)}, 1)) AS citation_text FROM documents WHERE text IS NOT NULL" for k, p in (("IEEE", IEEE), ("Author-Year", AUTHOR_YEAR), ("DOI", DOI), ("URL", URL)))
+_C = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS citation_type, unnest(regexp_extract_all(text, {q(p)}, 0)) AS citation_text FROM documents WHERE text IS NOT NULL" for k, p in (("IEEE", IEEE), ("Author-Year", AUTHOR_YEAR), ("DOI", DOI), ("URL", URL)))
 CITATIONS = f"SELECT doc_id, citation_type, citation_text, count(*) AS n FROM ({_C}) GROUP BY ALL"
 CITED = rf"""bodies AS (SELECT doc_id, unnest(regexp_extract_all(text, {q(IEEE)}, 1)) AS body FROM documents WHERE text IS NOT NULL),
 part AS (SELECT doc_id, trim(unnest(string_split_regex(body, '[,;]'))) AS p FROM bodies),
-lohi AS (SELECT doc_id, CAST(regexp_extract(p, '^(\d+)', 1) AS INT) AS a, CAST(regexp_extract(p, '(\d+)$', 1) AS INT) AS b FROM part WHERE regexp_full_match(p, '\d+|\d+\s*[-–]\s*\d+')),
-cited AS (SELECT DISTINCT doc_id, CAST(unnest(range(a, b + 1)) AS INT) AS ref_number FROM lohi WHERE a <= b AND b - a < 1000)"""
+lohi AS (SELECT doc_id, CAST(regexp_extract(p, '^(\d+)', 1) AS INT) AS a, CAST(regexp_extract(p, '(\d+)$', 1) AS INT) AS b FROM part WHERE regexp_full_match(p, '\d{{1,6}}|\d{{1,6}}\s*[-–]\s*\d{{1,6}}')),
+cited AS (SELECT DISTINCT doc_id, CAST(unnest(range(a, b + 1)) AS INT) AS ref_number FROM lohi WHERE a <= b)"""
 MISMATCH = rf"""WITH c AS (SELECT DISTINCT doc_id, lower(regexp_extract(regexp_replace(t, '^\(\s*', ''), '^([A-Za-z]+)', 1)) AS author, CAST(regexp_extract(t, '(19\d{{2}}|20\d{{2}})', 1) AS INT) AS year FROM (SELECT doc_id, unnest(regexp_extract_all(text, {q(AUTHOR_YEAR)}, 1)) AS t FROM documents WHERE text IS NOT NULL)),
 r AS (SELECT DISTINCT document_id AS doc_id, lower(authors) AS a, year AS y FROM bib_refs)
 SELECT doc_id, author, year FROM c WHERE doc_id IN (SELECT doc_id FROM r) AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = c.doc_id AND contains(r.a, c.author) AND (r.y IS NULL OR abs(c.year - r.y) <= 1))"""

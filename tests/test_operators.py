@@ -73,8 +73,14 @@ def test_sections_and_phrases(spark):
     d = spark.createDataFrame([(1, "Abstract\ntext\n1. Introduction\nmore\nResults\nend")], "doc_id long, text string")
     got = {r.section: (r.start_char, r.end_char) for r in profile.sections(d, "doc_id", "text").collect()}
     assert got == {"Abstract": (0, 14), "Introduction": (14, 35), "Results": (35, 46)}
-    assert profile.is_common_phrase("The results of this study indicate that")
-    assert not profile.is_common_phrase("In this study the yield of millet under drip irrigation doubled within three dry seasons near the delta")
+    assert common(spark, "The results of this study indicate that") == [True]
+    assert common(spark, "In this study the yield of millet under drip irrigation doubled within three dry seasons near the delta") == [False]
+    assert common(spark, "As depicted in", "In summary, our contributions.", "as shown in Figure 3", None, " ", "no phrase at all") == [True, True, True, False, False, False]
+
+
+def common(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.c for r in df.select("i", profile.common_phrase(F.col("t")).alias("c")).orderBy("i").collect()]
 
 
 def test_leader_groups_equal_sequential(spark):
