@@ -57,12 +57,15 @@ def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one is set only where none is configured."""
+    """The shared checkpoint folder of the session. Where none is configured, a temporary one is set if all tasks run in
+    this process; on a cluster that is an error, as every machine would write to its own disk."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and not sc._jsc.sc().isLocal():
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     target = configured or os.path.join(tempfile.gettempdir(), f"papersieve-{os.getpid()}")
     sc.setCheckpointDir(target)
     return target

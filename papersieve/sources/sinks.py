@@ -29,6 +29,13 @@ def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def with_columns_filled(table: DataFrame, defaults: dict[str, object]) -> DataFrame:
+    """The table with missing columns added at their default and nulls of the present ones replaced by it."""
+    for name, value in defaults.items():
+        table = table.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in table.columns else F.lit(value))
+    return table
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The table with rows replaced or added by key."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
@@ -39,9 +46,9 @@ def delete_cascade(tables: dict[str, DataFrame], ids: DataFrame, key: str = "doc
     return {name: df.join(ids.select(key), key, "left_anti") for name, df in tables.items()}
 
 
-def html_reports(matches: DataFrame, docs: DataFrame, most: int = 10_000) -> DataFrame:
-    """(doc_id, html): one page per document with its matches, rendered on the executors."""
-    per = matches.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence", "source_id", "score"))), 1, most).alias("m"))
+def html_reports(matches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, html): one page per document with all its matches, rendered on the executors."""
+    per = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence", "source_id", "score"))).alias("m"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
