@@ -5,9 +5,8 @@ ruling out order, invoice, grant, accession and book numbers; names by the phras
 languages, and then wherever the same name stands again in the text.
 
 Every found entity gets a surrogate that is drawn by a keyed hash, agrees with it in kind, script, format and (for given
-names that occur in the tables of both genders) gender, and is the same wherever the entity occurs: names are mapped
-word by word, so that a name with and without its middle initial stays one person. Surrogates that two entities share
-are drawn again until all are distinct.
+names of the tables) gender, and is the same wherever the entity occurs. Surrogates that two entities would share are
+drawn again until all are distinct.
 
 Defined results: null and empty texts have no items and stay as they are; an item found several times in a text is one
 row; where spans overlap, the earlier and longer one holds.
@@ -16,7 +15,9 @@ row; where spans overlap, the earlier and longer one holds.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from papersieve.session import cut, read_table, spread
 
-KEY = b"papersieve"  # production passes its own secret
+KEY = b"papersieve"  # for tests; production sets spark.papersieve.key
 KINDS = ("EMAIL", "ADDRESS", "ID", "PHONE", "NAME")
 
 _L = r"A-Za-zÀ-ÖØ-öø-ÿ"
@@ -43,13 +44,15 @@ EMAIL = re.compile(
     rf"|\s+(?:AT|at)\s+{_HOST}(?:\s+(?:DOT|dot)\s+{_HOST})+){_E}"
 )
 
-_HIDDEN_AT = re.compile(r"[\[(]\s?at\s?[\])]| at \S+ dot ", re.IGNORECASE)
-_DIGITS = re.compile(r"[0-9०-९]{3}[ .-]?[0-9०-९]|[0-9०-९]{2}[ -][0-9०-९]{2}")
+# Gates: whatever the patterns behind them match, holds these.
+_HIDDEN_AT = re.compile(r"[\[(]\s?(?:at|AT)\s?[\])]|\s(?:AT|at)\s+[A-Za-z0-9-]+\s+(?:DOT|dot)\s")
+_DIGITS = re.compile(r"\d{3}[\s.-]?\d|\d{2}[\s.-]\d{2}")
 
 _W = rf"[A-ZÀ-Ý][{_L}'’-]+"
 _PLACE = rf"{_W}(?:\s{_W})?"
 _DW = r"[ऀ-ॿ]+"
-# Each format with words of which a text must hold one for the format to be looked for at all.
+# Each format with words of which a text must hold one for the format to be looked for at all. Where the town follows its
+# postal code, it belongs to the code.
 ADDRESSES = [
     (words, re.compile(pattern.replace(r"\s", r"[ \n ]")))
     for words, pattern in (
@@ -58,9 +61,9 @@ ADDRESSES = [
         (("Flat",), rf"{_B}Flat\s\d+,\s{_W}\sSociety,\s{_W}\sRoad,\s{_PLACE}\s\d{{3}}\s?\d{{3}}"),
         (("Plot",), rf"{_B}Plot\sNo\.\s\d+,\sNear\s{_W}\sTemple,\s{_PLACE}\s-\s\d{{3}}\s?\d{{3}}"),
         (("Galli",), rf"{_B}H\.\s?No\.\s\d+(?:/\d+)?,\s{_W}\sGalli,\sAt\sPost\s{_PLACE}\s\d{{3}}\s?\d{{3}}"),
-        (("straße", "strasse", "weg ", "gasse ", "allee ", "platz "), rf"{_B}{_W}(?:straße|strasse|weg|gasse|allee|platz)\s\d+[a-z]?,\s\d{{5}}(?=\s{_W})"),
-        ((" rue ", " avenue ", " boulevard ", " place "), rf"{_B}\d{{1,4}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place)\s{_PLACE},\s\d{{5}}(?=\s{_W})"),
-        (("Calle", "Avenida", "Plaza"), rf"{_B}(?:Calle|Avenida|Plaza)\s{_PLACE}\s\d{{1,4}},\s\d{{5}}(?=\s{_W})"),
+        (("straße", "strasse", "weg", "gasse", "allee", "platz"), rf"{_B}{_W}(?:straße|strasse|weg|gasse|allee|platz)\s\d+[a-z]?,\s\d{{5}}\s{_W}"),
+        (("rue", "avenue", "boulevard", "place"), rf"{_B}\d{{1,4}}(?:\s(?:bis|ter))?,\s(?:rue|avenue|boulevard|place)\s{_PLACE},\s\d{{5}}\s{_W}"),
+        (("Calle", "Avenida", "Plaza"), rf"{_B}(?:Calle|Avenida|Plaza)\s{_PLACE}\s\d{{1,4}},\s\d{{5}}\s{_W}"),
         (("मार्ग", "गली", "वाडा", "रोड", "पथ", "चौक", "नगर"), rf"{_B}[{_D}]{{1,4}},\s{_DW}\s(?:मार्ग|गली|वाडा|रोड|पथ|चौक|नगर),\s{_DW}\s[{_D}]{{3}}\s?[{_D}]{{3}}"),
     )
 ]
@@ -221,72 +224,125 @@ def placeholder_text(text: str | None) -> str | None:
     return "".join(parts) + text[at:]
 
 
-# Given names for surrogates, by gender; surnames are built from syllables.
-_FEMALE = "Asha Birgit Clara Dipti Elena Fatima Gita Hanna Irina Juliane Kiran Lena Meera Nora Olga Priti Rosa Sita Tara Vidya".split()
-_MALE = "Arun Bruno Carlos Dinesh Emil Felix Gaurav Hugo Ivan Jonas Karl Luis Mohan Nils Oscar Pablo Rahul Stefan Tomas Vijay".split()
-_DEV_FEMALE = "आशा गीता दीप्ति मीरा विद्या सीता तारा प्रीति".split()
-_DEV_MALE = "अरुण मोहन दिनेश विजय राहुल गौरव अजय सुरेश".split()
-_HEAD, _TAIL = "bal cor del fen gor hal jun kel lom mar nol per quin ras sel tor ulm ver wes yan".split(), "ado berg dal eno fort gar hede ivar kamp lund mer nath orp pur ren sted tal und vik wad".split()
-_DEV_HEAD, _DEV_TAIL = "कम गोर जय तेल नव पाट भोर मान राज सात".split(), "कर वाले देव राव पंत धर साने गडे".split()
-_KNOWN_FEMALE = frozenset("hemlata ketaki revati mrunal falguni nandita anagha devika tanuja urmila pallavi janhavi varsha chitra edith greta ruth lucia noemie heike वर्षा चित्रा रेवती केतकी अनघा देविका नंदिता".split())
+# Common given names by gender, in Latin and Devanagari script. Names outside are drawn without a gender.
+FEMALE = frozenset(
+    """aisha alice alicia amelie amina amita amrita ana anagha andrea angela anita anjali anke anna anne annika antje aparna
+    archana asha barbara beatriz birgit camille carmen carolina catherine chantal charlotte chitra clara claire claudia
+    deepa devika diana dipti edith elena elisabeth elizabeth emma eva falguni fatima gabriele gita greta hanna heike helen
+    hemlata ines inga isabel jana janhavi jane jessica julia juliane karen karin kate katharina kavita ketaki laura lea lena
+    lucia madhuri margaret maria marie marta mary meera monika mrunal nandita nathalie neha nicole nina noemie olga pallavi
+    patricia petra pooja priya rachel radha rekha revati rosa ruth sabine sandra sara sarah seema sneha sofia sophie sunita
+    susan swati tanuja tara teresa urmila ursula varsha vidya
+    आशा गीता दीप्ति मीरा विद्या सीता तारा प्रीति वर्षा चित्रा रेवती केतकी अनघा देविका नंदिता सुनीता कविता""".split()
+)
+MALE = frozenset(
+    """aarav abhay ajay alain alan albert alejandro alexander amit anand andre andreas anil anton antonio arjun arthur arun
+    ashok benjamin bernd bruno carlos charles christian christoph claude daniel david dennis diego dieter dinesh dominik
+    eduardo emil enrique eric ernst felix fernando francisco francois frank franz fritz ganesh gaurav georg george gerhard
+    gilles hans harish heinrich henri henry hugo ivan jack jakob james jan javier jean jens joachim johann john jonas jorge
+    jose joseph juan karl kiran klaus kunal lars laurent louis luca luis mahesh manuel marc marco mario mark markus martin
+    matthias max michael michel miguel mohan nikhil nils nitin olivier oscar oskar otto pablo patrick paul pedro peter
+    philippe pierre prakash rahul rainer rajesh ramesh raul ravi richard robert rohan roland sachin sanjay stefan suresh
+    thomas tomas uwe vijay vikram vinod walter werner wilhelm william wolfgang
+    अरुण मोहन दिनेश विजय राहुल गौरव अजय सुरेश रमेश महेश गणेश संजय""".split()
+)
+# The parts of which surrogate words are built, and the endings that mark their kind.
+_ONSETS, _VOWELS, _CODAS = "b d f g h j k l m n p r s t v z".split(), "a e i o u".split(), ["", "l", "m", "n", "r", "s"]
+_ENDINGS = {"female": ("a", "ia", "ina", "ella"), "male": ("o", "an", "us", "ard"), "given": ("i", "e", "en", "is"), "surname": ("berg", "dal", "er", "mann", "son", "ov", "ini", "ez")}
+_DEV_ONSETS, _DEV_SIGNS = "क ग ज ट त द न प ब म य र ल व श स ह".split(), ["", "ा", "ि", "ी", "ु", "े", "ो"]
+_DEV_ENDINGS = {"female": ("ता", "नी", "का", "या"), "male": ("श", "व", "त", "ज"), "given": ("म", "र", "न", "ल"), "surname": ("कर", "वाले", "राव", "देव", "पंत", "साने")}
+_ROUNDS = 64  # draws of one value at most; words grow with the draws, so only a format of fixed size can use them up
+
+
+def secret(spark: SparkSession) -> bytes:
+    """The key of the session, set as spark.papersieve.key; production sets its own."""
+    return spark.conf.get("spark.papersieve.key", KEY.decode()).encode()
+
+
+def _stream(key: bytes, kind: str, value: str, salt: int) -> bytes:
+    return hashlib.blake2b(f"{kind}\x00{value}\x00{salt}".encode("utf-8", "surrogatepass"), key=key[:64], digest_size=64).digest()
+
+
+def normal_word(word: str) -> str:
+    return unicodedata.normalize("NFC", word).casefold()
+
+
+def name_parts(name: str) -> list[tuple[str, str, bool]]:
+    """(separator before, word, whether it stands where a given name does) of a name; hyphens separate, too."""
+    words = [(m.group(1), m.group(2)) for m in re.finditer(r"([\s\u00a0-]*)([^\s\u00a0-]+)", name)]
+    caps = [w.isupper() and len(w) > 2 for _, w in words]
+    # "SURNAME Given": the capitals mark the surname.
+    first = 1 if caps and caps[0] and not all(caps) and len(words) > 1 else 0
+    last = 0 if first else len(words) - 1
+    return [(sep, w, k == first or (k != last and "-" not in sep)) for k, (sep, w) in enumerate(words)]
 
 
-def _draw(key: bytes, kind: str, value: str, salt: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{kind}\x00{value}\x00{salt}".encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big")
+@lru_cache(maxsize=64)
+def _initials(key: bytes) -> dict[str, str]:
+    """A keyed order of the letters, so different initials stay different."""
+    letters = [chr(65 + k) for k in range(26)]
+    return dict(zip(letters, sorted(letters, key=lambda c: _stream(key, "initial", c, 0))))
 
 
-@lru_cache(maxsize=100_000)
-def _name_word(word: str, first: bool, salt: int, key: bytes) -> str:
-    low = word.casefold()
+def initial(word: str, key: bytes) -> str | None:
+    """The surrogate of an initial with its point, None for other words; an accent of it is dropped."""
     if len(word) == 2 and word[1] == ".":
-        return chr(65 + _draw(key, "initial", low, 0) % 26) + "."
-    d = _draw(key, "word", low, salt)
-    if word[0] > "ऀ":
-        if first:
-            table = _DEV_FEMALE if low in _KNOWN_FEMALE else _DEV_MALE
-            return table[d % len(table)]
-        return _DEV_HEAD[d % len(_DEV_HEAD)] + _DEV_TAIL[d // 97 % len(_DEV_TAIL)]
-    if first:
-        table = _FEMALE if low in _KNOWN_FEMALE else _MALE
-        new = table[d % len(table)]
-    else:
-        new = "-".join((_HEAD[x % 20] + _TAIL[x // 97 % 20] + (_TAIL[x // 9973 % 20] if salt else "")).capitalize() for x in (_draw(key, "word", p.casefold(), salt) for p in word.split("-")))
-    return new.upper() if word.isupper() and len(word) > 2 else new
+        base = unicodedata.normalize("NFKD", word[0])[0].upper()
+        return _initials(key).get(base, word[0]) + "."
+    return None
+
+
+def word_kind(word: str, given: bool) -> str:
+    return "female" if word in FEMALE else "male" if word in MALE else "given" if given else "surname"
+
+
+def drawn_word(word: str, kind: str, salt: int, key: bytes, size: int = 2) -> str:
+    """A surrogate of a word, in small letters and in its script, of size syllables and more with the salt."""
+    b = _stream(key, "word", word, salt)
+    count = size + salt // 3
+    b = (b * (1 + (3 * count + 1) // len(b)))[: 3 * count + 1]
+    if word[:1] > "ऀ":
+        body = "".join(_DEV_ONSETS[b[3 * k] % 17] + _DEV_SIGNS[b[3 * k + 1] % 7] for k in range(count))
+        return body + _DEV_ENDINGS[kind][b[-1] % len(_DEV_ENDINGS[kind])]
+    body = "".join(_ONSETS[b[3 * k] % 16] + _VOWELS[b[3 * k + 1] % 5] + (_CODAS[b[3 * k + 2] % 6] if k else "") for k in range(count))
+    return (body if body[-1] not in "aeiou" else body + _ONSETS[b[-1] // 16]) + _ENDINGS[kind][b[-1] % len(_ENDINGS[kind])]
+
+
+def _cased(new: str, word: str) -> str:
+    return new.upper() if word.isupper() and len(word) > 1 else new[:1].upper() + new[1:] if word[:1].isupper() else new
+
+
+# Words of addresses that stay.
+_ADDRESS_WORDS = frozenset("Flat Society Road Plot No Near Temple H Galli At Post Avenue Apt Lane Calle rue bis ter Street Drive Boulevard Unit Suite Close Avenida Plaza avenue boulevard place मार्ग गली वाडा रोड पथ चौक नगर".split())
 
 
 def surrogate(kind: str, value: str, salt: int = 0, key: bytes = KEY) -> str:
-    """A replacement of the same kind, script and format, the same for equal values; another salt gives another draw."""
+    """A replacement of the same kind, script and format, the same for values that differ in letter case only."""
     if kind == "NAME":
-        words = value.split(" ")
-        caps = [w.isupper() and len(w) > 2 for w in words]
-        # "SURNAME Given": the capitals mark the surname.
-        first = 1 if caps[0] and not all(caps) and len(words) > 1 else 0
-        return " ".join(_name_word(w, i == first and len(w) > 2, salt, key) for i, w in enumerate(words))
-    d = _draw(key, kind, value, salt)
-    stream = hashlib.blake2b(d.to_bytes(8, "big"), key=key, digest_size=64).digest()
-    out, k = [], 0
-    word_at = 0
-    for m in re.finditer(rf"[{_L}]+|[0-9]|[०-९]|.", value, re.DOTALL):
-        t = m.group()
-        b = stream[k % 64]
-        k += 1
+        return "".join(sep + (initial(w, key) or _cased(drawn_word(n := normal_word(w), word_kind(n, given), salt, key), w)) for sep, w, given in name_parts(value))
+    stream = _stream(key, kind, normal_word(value), salt)
+    stream = stream * (1 + (3 * len(value)) // len(stream))
+    out, word_at = [], 0
+    for k, m in enumerate(re.finditer(rf"[{_L}]+|[ऀ-ॣ॰-ॿ]+|[0-9]|[०-९]|.", value, re.DOTALL)):
+        t, b = m.group(), stream[3 * k]
+        made = "".join(_ONSETS[stream[3 * k + j] % 16] + _VOWELS[stream[3 * k + j] // 16 % 5] for j in range(3))
         if t.isdigit():
             # Country and trunk prefixes keep the format.
-            keep = kind == "PHONE" and (m.start() < 3 and value[0] == "+" or m.start() < 4 and value[:2] == "00" or m.start() == 0 and t in "0०")
+            keep = kind == "PHONE" and (m.start() < 3 and value[0] == "+" or m.start() < 4 and value[:2] in ("00", "००") or m.start() == 0 and t in "0०")
             out.append(t if keep else (chr(0x966 + b % 10) if t > "9" else str(b % 10)))
-        elif t.isalpha() and kind == "ID":
-            out.append("".join(chr(65 + stream[(k + j) % 64] % 26) for j in range(len(t))))
-        elif t.isalpha() and kind == "EMAIL":
+        elif t[0].isalpha() and kind == "ID":
+            out.append("".join(chr(65 + stream[3 * k + j % 3] // (1 + j // 3) % 26) for j in range(len(t))))
+        elif t[0].isalpha() and kind == "EMAIL":
             fixed = t.lower() in ("at", "dot") or word_at > 0 and not re.search(r"@|at\b|AT\b", value[m.start() :])
-            new = t if fixed else _HEAD[b % 20] + _TAIL[stream[(k + 7) % 64] % 20]
-            out.append(new.upper() if t.isupper() and not fixed else new)
-        elif t.isalpha() and kind == "ADDRESS":
-            known = t in ("Flat", "Society", "Road", "Plot", "No", "Near", "Temple", "H", "Galli", "At", "Post", "Avenue", "Apt", "Lane", "Calle", "rue", "bis", "ter", "Street", "Drive", "Boulevard", "Unit", "Suite", "Close", "Avenida", "Plaza", "avenue", "boulevard", "place")
-            tail = next((x for x in ("straße", "strasse", "weg", "gasse", "allee", "platz") if t.endswith(x)), "")
-            out.append(t if known else (_HEAD[b % 20] + _TAIL[stream[(k + 7) % 64] % 20]).capitalize() + tail)
+            out.append(t if fixed else made.upper() if t.isupper() else made)
+        elif t[0].isalpha() and kind == "ADDRESS":
+            tail = next((x for x in ("straße", "strasse", "weg", "gasse", "allee", "platz") if t.endswith(x) and t != x), "")
+            # Letters of a postal code stay letters of a code.
+            code = t.isupper() and len(t) <= 2 and t.isascii()
+            out.append(t if t in _ADDRESS_WORDS else "".join(chr(65 + stream[3 * k + j] % 26) for j in range(len(t))) if code else drawn_word(normal_word(t), "surname", salt, key) if t > "ऀ" else made.capitalize() + tail)
         else:
             out.append(t)
-        word_at += t.isalpha()
+        word_at += t[0].isalpha()
     return "".join(out)
 
 
@@ -303,36 +359,97 @@ def items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return src.mapInPandas(run, f"{id_col} {id_type}, pii_kind string, pii_text string")
 
 
-def surrogates(found: DataFrame, key: bytes = KEY, rounds: int = 8) -> DataFrame:
-    """(pii_kind, pii_text, surrogate) of every distinct item; shared or unchanged surrogates are drawn again.
-
-    Values are compared without regard to letter case and inner blanks. The smallest value of those that share a
-    surrogate keeps it, the others go on with the next salt. What still clashes after the rounds gets the value's hash
-    appended, so distinctness never fails.
+def _distinct_draws(values: DataFrame, draw, real: DataFrame) -> DataFrame:
+    """(kind, value, new): a draw for every value (kind, value, grp), distinct within grp and equal to no real value (grp,
+    value). The smallest value that draws something keeps it, the others draw again; only these go on. Values that use up
+    _ROUNDS draws, as their format has too few forms, get a placeholder with their hash."""
+    todo, done, taken = values.withColumn("new", draw(0)("kind", "value")), None, real.select("grp", F.col("value").alias("new")).distinct()
+    for salt in range(1, _ROUNDS + 1):
+        todo = cut(todo)
+        first = todo.groupBy("grp", "new").agg(F.min("value").alias("keeper"))
+        marked = todo.join(first, ["grp", "new"]).join(taken.withColumn("used", F.lit(True)), ["grp", "new"], "left")
+        marked = cut(marked.select("kind", "value", "grp", "new", (F.col("used").isNull() & (F.col("value") == F.col("keeper"))).alias("good")))
+        good, rest = marked.where("good").select("kind", "value", "grp", "new"), marked.where("not good").select("kind", "value", "grp")
+        done = good if done is None else done.unionByName(good)
+        if rest.isEmpty():
+            return done.select("kind", "value", "new")
+        taken = taken.unionByName(good.select("grp", "new"))
+        todo = rest.withColumn("new", draw(salt)("kind", "value"))
+    last = rest.withColumn("new", F.concat(F.lit("["), F.col("kind"), F.lit(" "), F.left(F.sha2("value", 256), F.lit(16)), F.lit("]")))
+    return done.unionByName(last).select("kind", "value", "new")
+
+
+def surrogates(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(pii_kind, pii_text, surrogate) of every distinct item, distinct and consistent.
+
+    Names are mapped word by word, and a word has one surrogate wherever it stands, so all forms of a person move
+    together: with and without a middle initial, in capitals, surname first. Words and initials are mapped one to one, so
+    different names stay different. Other values are mapped as wholes, without regard to letter case. No surrogate word or
+    value is one that was found.
     """
+    items_ = cut(found.select("pii_kind", "pii_text").distinct())
 
-    def draw(salt: int):
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(name, k, sep, w, normal_word(w), given, initial(w, key)) for name in pdf["pii_text"] for k, (sep, w, given) in enumerate(name_parts(name))]
+            yield pd.DataFrame(rows, columns=["pii_text", "k", "sep", "w", "value", "given", "init"])
+
+    p = cut(items_.where("pii_kind = 'NAME'").mapInPandas(parts, "pii_text string, k int, sep string, w string, value string, given boolean, init string"))
+    words = p.where("init is null").groupBy("value").agg((F.avg(F.col("given").cast("int")) >= 0.5).alias("given"))
+
+    @F.pandas_udf("string")
+    def kinds(word: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([word_kind(w, g) for w, g in zip(word, given)], dtype=object)
+
+    words = cut(words.select(kinds("value", "given").alias("kind"), "value", F.lit("word").alias("grp")))
+    # So many syllables that words of one length are far more than needed; 96 is the least number of forms of a syllable.
+    size = max(2, math.ceil(math.log(max(2, words.count()) * 64) / math.log(96)))
+
+    def word_draw(salt: int):
+        @F.pandas_udf("string")
+        def f(kind: pd.Series, value: pd.Series) -> pd.Series:
+            return pd.Series([drawn_word(v, k, salt, key, size) for k, v in zip(kind, value)], dtype=object)
+
+        return f
+
+    def value_draw(salt: int):
         @F.pandas_udf("string")
         def f(kind: pd.Series, value: pd.Series) -> pd.Series:
             return pd.Series([surrogate(k, v, salt, key) for k, v in zip(kind, value)], dtype=object)
 
         return f
 
-    todo = cut(found.select("pii_kind", "pii_text").distinct().withColumn("salt", F.lit(0)).withColumn("surrogate", draw(0)("pii_kind", "pii_text")))
-    for salt in range(1, rounds + 1):
-        first = todo.groupBy("pii_kind", "surrogate").agg(F.min("pii_text").alias("keeper"), F.count("*").alias("n"))
-        real = found.select("pii_kind", F.col("pii_text").alias("surrogate")).distinct().withColumn("real", F.lit(True))
-        marked = todo.join(first, ["pii_kind", "surrogate"]).join(real, ["pii_kind", "surrogate"], "left")
-        clash = (F.col("n") > 1) & (F.col("pii_text") != F.col("keeper")) | F.col("real").isNotNull()
-        marked = cut(marked.select("pii_kind", "pii_text", "surrogate", clash.alias("clash")))
-        if marked.where("clash").isEmpty():
-            return marked.select("pii_kind", "pii_text", "surrogate")
-        again = draw(salt)
-        todo = cut(marked.where("not clash").select("pii_kind", "pii_text", "surrogate").unionByName(marked.where("clash").select("pii_kind", "pii_text", again("pii_kind", "pii_text").alias("surrogate"))))
-    first = todo.groupBy("pii_kind", "surrogate").agg(F.min("pii_text").alias("keeper"))
-    out = todo.join(first, ["pii_kind", "surrogate"])
-    tag = F.concat("surrogate", F.lit(" "), F.lower(F.hex(F.xxhash64("pii_text"))))
-    return out.select("pii_kind", "pii_text", F.when(F.col("pii_text") == F.col("keeper"), F.col("surrogate")).otherwise(tag).alias("surrogate"))
+    new_words = _distinct_draws(words, word_draw, words).select("value", "new")
+    shown = F.when((F.col("w") == F.upper("w")) & (F.length("w") > 1), F.upper("new")).when(F.left("w", F.lit(1)) != F.lower(F.left("w", F.lit(1))), F.concat(F.upper(F.left("new", F.lit(1))), F.expr("substring(new, 2)"))).otherwise(F.col("new"))
+    put = p.join(new_words, "value", "left").withColumn("s", F.concat("sep", F.coalesce("init", shown)))
+    names = put.groupBy("pii_text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x.s), "").alias("surrogate")).withColumn("pii_kind", F.lit("NAME"))
+    other = items_.where("pii_kind <> 'NAME'")
+    # Values that differ in letter case only are one; the first of them is drawn for.
+    folded = other.withColumn("fold", F.lower("pii_text"))
+    one = folded.groupBy("pii_kind", "fold").agg(F.min("pii_text").alias("value"))
+    drawn = _distinct_draws(one.select(F.col("pii_kind").alias("kind"), "value", F.col("pii_kind").alias("grp")), value_draw, other.select(F.col("pii_kind").alias("grp"), F.col("pii_text").alias("value")))
+    back = folded.join(one, ["pii_kind", "fold"]).join(drawn.withColumnRenamed("kind", "pii_kind"), ["pii_kind", "value"])
+    return names.select("pii_kind", "pii_text", "surrogate").unionByName(back.select("pii_kind", "pii_text", F.col("new").alias("surrogate")))
+
+
+def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(doc_id, text): every text with surrogates in place of its items; texts without items stay as they are."""
+    found = cut(items(docs).distinct())
+    per = found.join(surrogates(found, key), ["pii_kind", "pii_text"]).groupBy("doc_id").agg(F.collect_set(F.struct("pii_kind", "pii_text", "surrogate")).alias("table"))
+
+    @F.pandas_udf("string")
+    def put(text: pd.Series, table: pd.Series) -> pd.Series:
+        out = []
+        for t, rows in zip(text, table):
+            known = {(r["pii_kind"], r["pii_text"]): r["surrogate"] for r in rows} if rows is not None else {}
+            parts, at = [], 0
+            for a, b, kind in spans(t) if known else ():
+                parts += [t[at:a], known.get((kind, t[a:b]), f"[{kind}]")]
+                at = b
+            out.append(None if t is None else "".join(parts) + t[at:])
+        return pd.Series(out, dtype=object)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").join(per, "doc_id", "left").select("doc_id", put("text", "table").alias("text"))
 
 
 def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -342,7 +459,7 @@ def p10_found(spark: SparkSession, data_dir: str) -> DataFrame:
 def p10_surrogates(spark: SparkSession, data_dir: str) -> DataFrame:
     """(doc_id, pii_kind, pii_text, surrogate) for every item of every text."""
     found = cut(items(read_table(spark, data_dir, "documents")).distinct())
-    return found.join(surrogates(found), ["pii_kind", "pii_text"]).select("doc_id", "pii_kind", "pii_text", "surrogate")
+    return found.join(surrogates(found, secret(spark)), ["pii_kind", "pii_text"]).select("doc_id", "pii_kind", "pii_text", "surrogate")
 
 
 def p10_placeholders(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -354,3 +471,8 @@ def p10_placeholders(spark: SparkSession, data_dir: str) -> DataFrame:
 
     d = read_table(spark, data_dir, "documents").where("doc_id is not null").select("doc_id", "text")
     return spread(d, "doc_id").select("doc_id", put("text").alias("text"))
+
+
+def p10_surrogate_texts(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(doc_id, text): every text with surrogates in place of its items."""
+    return with_surrogates(read_table(spark, data_dir, "documents"), secret(spark))
