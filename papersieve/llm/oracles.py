@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from papersieve.llm.lookalikes import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
+# Letters with a Latin twin.
+CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqw"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνοϳ"
+GREEK_AS = "ABEZHIKMNOPTYXvoj"
 
 _P2 = """
 WITH recs AS (
