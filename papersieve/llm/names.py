@@ -2,12 +2,15 @@
 
 Every distinct spelling is parsed once into a profile (surname, given names, initials, middle initials; or place and
 content initials of an organisation). Profiles that match are merged: their spellings and initials are united, the
-richer profile enters blocking again, and this goes on until no merge occurs. A block pairs its members only with a few
-richest ones (hubs) in one round, so a block of any size costs a linear number of comparisons; the hubs move on round by
-round until every member of the largest block had its turn.
+richer profile enters blocking again, and this goes on until no merge occurs.
+
+Blocks are of two kinds. In a wide one (a surname and an initial) only profiles without a given name look for partners,
+as two full ones that match meet in a narrow one (surname and given name, either with a letter left out), too; so a wide
+block costs in proportion to its size. In a narrow block a profile meets HUBS members before it in one turn, and after
+that only members that merged since; every member has its turn.
 
 Defined results: null and empty entries, "et al." and unknown authors are no names; repeated rows and repeated spellings
-count once; a spelling with only one form has no pair; ties between hubs go to the smaller id.
+count once; a spelling with only one form has no pair; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import Window as W
 
 from papersieve.session import cut, read_table
 
-HUBS = 4  # hubs of a block in one round; the rounds go on until all members were hubs
+HUBS = 64  # members of a narrow block that the others meet in one turn; the turns go on until all had theirs
+WIDE = ("i", "m")  # kinds of blocks in which one side lacks a given name
 
 # Nicknames and the names they stand for.
 NICKNAMES = {
@@ -221,7 +225,7 @@ def block_keys(p: dict) -> set[str]:
             keys |= {f"m|{d}|{i}|{m}" for i in inits for m in (p["middles"] or [""])}
             keys |= {f"m|{d}|{i}|" for i in inits}
         for g in p["givens"]:
-            keys |= {f"t|{s}|{d}" for d in _dels(g)}
+            keys |= {f"t|{s}|{d}" for x in {g, formal(g)} for d in _dels(x)}
     return keys
 
 
@@ -234,12 +238,34 @@ def _as_dict(row) -> dict:
 
 
 def _keyed(profiles: DataFrame) -> DataFrame:
+    """(pid, support, whole, key, wide): the blocks of every profile; whole profiles have a given name or are organisations."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r["pid"], int(r["support"]), k) for r in pdf.to_dict("records") for k in block_keys(_as_dict(r))]
-            yield pd.DataFrame(rows, columns=["pid", "support", "key"])
+            rows = [(r["pid"], int(r["support"]), r["kind"] == "org" or any(r["givens"]), k, k[0] in WIDE) for r in pdf.to_dict("records") for k in block_keys(_as_dict(r))]
+            yield pd.DataFrame(rows, columns=["pid", "support", "whole", "key", "wide"])
+
+    return profiles.mapInPandas(run, "pid long, support long, whole boolean, key string, wide boolean")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(pid, hub) of pairs (a, b) with their supports: the hub has the larger support, or the smaller id. The order is total,
+    so links go one way only and can't close a ring."""
+    up = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    return pairs.where("a <> b").select(F.when(up, F.col("b")).otherwise(F.col("a")).alias("pid"), F.when(up, F.col("a")).otherwise(F.col("b")).alias("hub")).distinct()
+
 
-    return profiles.mapInPandas(run, "pid long, support long, key string")
+def _wide_pairs(keyed: DataFrame) -> DataFrame:
+    """Profiles without a given name and all others of their wide blocks."""
+    w = keyed.where("wide")
+    few = w.where("not whole").select("key", F.col("pid").alias("a"), F.col("support").alias("sa"))
+    return few.join(w.select("key", F.col("pid").alias("b"), F.col("support").alias("sb")), "key").select("a", "sa", "b", "sb")
+
+
+def _narrow_pairs(first: DataFrame, keyed: DataFrame) -> DataFrame:
+    """The given members of narrow blocks and all others of these."""
+    left = first.where("not wide").select("key", F.col("pid").alias("a"), F.col("support").alias("sa"))
+    return left.join(keyed.where("not wide").select("key", F.col("pid").alias("b"), F.col("support").alias("sb")), "key").select("a", "sa", "b", "sb")
 
 
 def _verified(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -266,25 +292,32 @@ def _merged(profiles: DataFrame, root: DataFrame) -> DataFrame:
 
 def resolve(names: DataFrame) -> DataFrame:
     """(name, entity): every spelling with the id of its entity, by merging and re-matching until nothing merges."""
-    atoms = cut(oriented(_parsed(names)).withColumn("pid", F.xxhash64("kind", "surname", "given", "form", "initial", "middle")))
-    one = lambda c, when: F.array_distinct(F.array_compact(F.collect_list(F.when(when & (F.col(c) != ""), F.col(c)))))
+    parts = ["kind", "surname", "given", "form", "initial", "middle"]
+    atoms = cut(oriented(_parsed(names)))
+    forms = cut(atoms.groupBy(*parts).agg(F.count("*").alias("support")).withColumn("pid", F.monotonically_increasing_id()))
+    one = lambda c, when: F.array_compact(F.array(F.when(when & (F.col(c) != ""), F.col(c))))
     always = F.lit(True)
     profiles = cut(
-        atoms.groupBy("pid").agg(
-            F.first("kind").alias("kind"), one("surname", always).alias("surnames"), one("given", F.col("form") == "full").alias("givens"), one("given", F.col("form") == "abbr").alias("abbrs"),
-            one("initial", always).alias("initials"), one("middle", always).alias("middles"), F.count("*").alias("support"),
+        forms.select(
+            "pid", "kind", one("surname", always).alias("surnames"), one("given", F.col("form") == "full").alias("givens"), one("given", F.col("form") == "abbr").alias("abbrs"),
+            one("initial", always).alias("initials"), one("middle", always).alias("middles"), "support",
         )
     )
     owner = profiles.select("pid", F.col("pid").alias("entity"))
-    done, turn = 0, 0
+    start = cut(_keyed(profiles))
+    # The place of a profile in its narrow blocks is settled at the start, so that each has one turn.
+    narrow = start.where("not wide")
+    crowded = narrow.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HUBS)
+    largest = crowded.agg(F.max("n")).first()[0] or 1
+    placed = narrow.join(crowded.select("key"), "key", "left_semi").withColumn("turn", ((F.row_number().over(W.partitionBy("key").orderBy(F.desc("support"), "pid")) - 1) / HUBS).cast("int"))
+    placed = cut(placed.select("pid", "key", "turn").unionByName(narrow.join(crowded.select("key"), "key", "left_anti").select("pid", "key", F.lit(0).alias("turn"))))
+    keyed, changed, turn = start, None, 0
     while True:
-        keyed = cut(_keyed(profiles))
-        rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("support"), "pid"))
-        ranked = keyed.withColumn("rank", rank)
-        largest = keyed.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        hubs = ranked.where((F.col("rank") > turn * HUBS) & (F.col("rank") <= (turn + 1) * HUBS))
-        # The order of support is total, so links go one way only and can't close a ring.
-        pairs = ranked.select("pid", "key", F.col("rank").alias("r")).join(hubs.select(F.col("pid").alias("hub"), "key", "rank"), "key").where("r > rank").select("pid", "hub").distinct()
+        if changed is None:
+            first = keyed.join(placed.where(F.col("turn") == turn).select("pid", "key"), ["pid", "key"], "left_semi")
+        else:
+            first = keyed.join(changed, "pid", "left_semi")
+        pairs = _ordered(_narrow_pairs(first, keyed).unionByName(_wide_pairs(keyed)))
         good = cut(_verified(pairs, profiles))
         # A profile of initials only that fits several full ones which don't fit each other stays alone.
         clash = good.where("not full and hub_full").groupBy("pid").agg(F.collect_set("hub").alias("hubs")).where("size(hubs) > 1")
@@ -292,11 +325,10 @@ def resolve(names: DataFrame) -> DataFrame:
         known = good.select(F.col("pid").alias("h"), F.col("hub").alias("h2"))
         linked = listed.join(listed.withColumnRenamed("h", "h2"), "pid").where("h <> h2").join(known, ["h", "h2"]).groupBy("pid").agg(F.count("*").alias("links"))
         unclear = clash.join(linked, "pid", "left").where(F.coalesce("links", F.lit(0)) < F.size("hubs") - 1).select("pid")
-        best = good.join(unclear, "pid", "left_anti").groupBy("pid").agg(F.max_by("hub", F.struct("hub_support", F.negative("hub"))).alias("root"))
-        best = cut(best)
-        n = best.count()
-        if n == 0:
-            turn += 1
+        best = cut(good.join(unclear, "pid", "left_anti").groupBy("pid").agg(F.max_by("hub", F.struct("hub_support", F.negative("hub"))).alias("root")))
+        if best.isEmpty():
+            # The next turn, once nothing merges any more.
+            turn, changed = turn + 1, None
             if turn * HUBS >= largest:
                 break
             continue
@@ -309,8 +341,9 @@ def resolve(names: DataFrame) -> DataFrame:
                 break
         owner = cut(owner.join(best.select(F.col("pid").alias("entity"), "root"), "entity", "left").select("pid", F.coalesce("root", "entity").alias("entity")))
         profiles = cut(_merged(profiles, best))
-        done, turn = done + 1, 0
-    return atoms.select("name", "pid").join(owner, "pid").select("name", "entity").distinct()
+        keyed = cut(_keyed(profiles))
+        changed = cut(best.select(F.col("root").alias("pid")).distinct())
+    return atoms.join(forms.drop("support"), parts).join(owner, "pid").select("name", "entity").distinct()
 
 
 def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
