@@ -26,6 +26,7 @@ from papersieve.session import cut, read_table
 GROUP_BINS = 48
 NODES = 400  # branch-and-bound nodes of one group; the incumbent stands when they are used up
 WIDTH = 12  # fillings tried at one node
+PARTS = 4096  # parts of the documents to which the kinds of containers are dealt
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -146,9 +147,11 @@ def bin_completion(sizes: list[int], capacity: int, nodes: int = NODES) -> list[
 def pieces(docs: DataFrame, capacities: DataFrame) -> DataFrame:
     """(container, capacity, doc_id, piece, tokens): each document once per container kind; larger ones cut up."""
     c = capacities.where("container is not null and capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    # A handful of container kinds; every document is wanted for each of them.
-    kinds = F.array(*[F.struct(F.lit(r["container"]).alias("container"), F.lit(r["capacity"]).cast("long").alias("capacity")) for r in c.orderBy("container").limit(1000).collect()])
-    d = docs.select("doc_id", "tokens", F.explode(kinds).alias("k")).select("k.container", "k.capacity", "doc_id", "tokens")
+    # Every document is wanted for each kind of container. The kinds are dealt to parts of the documents by a join on a
+    # number of few values, so neither side is broadcast and no number of kinds is left out.
+    parts = docs.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part"))
+    kinds = c.select("container", "capacity", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    d = parts.join(kinds, "part").select("container", "capacity", "doc_id", "tokens")
     n = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("int")
     cutup = d.withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     return cutup.select("container", "capacity", "doc_id", "piece", F.least("capacity", F.col("tokens") - F.col("piece") * F.col("capacity")).alias("tokens"))

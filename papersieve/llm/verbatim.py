@@ -38,10 +38,10 @@ def records(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def classes(recs: DataFrame, min_span: int) -> tuple[DataFrame, DataFrame]:
-    """(cls, text) with one row per distinct text, and (cls, rec) membership."""
-    keyed = recs.where(F.length("text") >= min_span).withColumn("cls", F.xxhash64("text", F.sha2("text", 256)))
-    texts = cut(keyed.groupBy("cls").agg(F.min("text").alias("text")))
-    return texts, keyed.select("cls", "rec").distinct()
+    """(cls, text) with one row per distinct text, told apart by its SHA-256 and numbered, and (cls, rec) membership."""
+    keyed = recs.where(F.length("text") >= min_span).withColumn("id", F.unhex(F.sha2("text", 256)))
+    texts = cut(keyed.groupBy("id").agg(F.min("text").alias("text")).withColumn("cls", F.monotonically_increasing_id()))
+    return texts.select("cls", "text"), keyed.select("id", "rec").distinct().join(texts.select("id", "cls"), "id").select("cls", "rec")
 
 
 def _seeds(texts: DataFrame, k: int, w: int) -> DataFrame:
@@ -215,3 +215,18 @@ def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def p2_shared_part(spark: SparkSession, data_dir: str) -> DataFrame:
     return shares(records(spark, data_dir))
+
+
+def found_classes(recs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(cls, rec, n_members, n_links): every record with the class of its text, named by its smallest record, and the number
+    of other classes that share a long span with it; copies are not expanded into pairs. Records too short have none."""
+    texts, members = classes(recs, min_span)
+    spans, windows = shared_spans(texts, min_span)
+    pairs = spans.select("cls_a", "cls_b").unionByName(_hot_pairs(windows)).distinct()
+    links = pairs.select(F.col("cls_a").alias("cls")).unionByName(pairs.select(F.col("cls_b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
+    size = members.groupBy("cls").agg(F.min("rec").alias("name"), F.count("*").alias("n_members"))
+    return members.join(size, "cls").join(links, "cls", "left").select(F.col("name").alias("cls"), "rec", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p2_classes(spark: SparkSession, data_dir: str) -> DataFrame:
+    return found_classes(records(spark, data_dir))
