@@ -115,6 +115,23 @@ def pair_tfidf(x: Column, y: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), jaccard(x, y)).otherwise(100.0 * dot / (F.sqrt(na) * F.sqrt(nb)))
 
 
+def pair_tfidf_bound(a: Column, b: Column) -> Column:
+    """An upper bound of pair_tfidf from the grams of both texts, by the sizes of their sets alone.
+
+    Grams of one side only have a squared weight of KAPPA ** 2 at least each; the others, of which no more occurrences are
+    left, have at most that number times the largest count it allows.
+    """
+    both = F.size(F.array_intersect(a, b))
+
+    def part(x: Column, y: Column) -> Column:
+        only = F.size(F.array_except(x, y))
+        left = F.size(x) - only
+        most = left * (left - both + 1)
+        return F.when(both == 0, 0.0).otherwise(F.sqrt(most / (most + KAPPA * KAPPA * only)))
+
+    return 100.0 * part(a, b) * part(b, a)
+
+
 def pair_tfidf_frame(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, cosine) of pair_tfidf for many pairs: one row per gram and pair, summed twice, instead of scans of arrays."""
     side = lambda c, a, b: pairs.select(*keys, F.explode(grams(F.col(c))).alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersieve.functions.setjoin import similar_pairs
-from papersieve.functions.similarity import pair_tfidf, partial_udf
+from papersieve.functions.similarity import grams, pair_tfidf, pair_tfidf_bound, partial_udf
 from papersieve.functions.text import tokens
 from papersieve.session import cut
 
@@ -68,13 +68,14 @@ def fuzzy_best(docs: DataFrame, src: DataFrame, threshold: float = FUZZY) -> Dat
 def semantic_first(docs: DataFrame, src: DataFrame, threshold: float = SEMANTIC, min_tokens: int = 8) -> DataFrame:
     """(doc_id, sent_idx, source_id, src_idx, score): the first of the FIRST source sentences that reaches the threshold by
     the TF-IDF cosine of the pair and the gate by its best window. Both read the sentence as it stands for the cosine and
-    its cleaned form for the window; what shares no word is left out beforehand, as its cosine is 0."""
+    its cleaned form for the window; what an upper bound of the cosine rules out is left out beforehand."""
     first = src.orderBy("source_id", "sent_idx").limit(FIRST).select("source_id", "sent_idx", "sentence", "clean").collect()
     d = docs.where(F.size(tokens(F.col("clean"))) >= min_tokens).select("sentence", "clean").distinct()
     if not first:
         return docs.select("doc_id", "sent_idx", F.lit(0).cast("long").alias("source_id"), F.lit(0).alias("src_idx"), F.lit(0.0).alias("score")).limit(0)
     few = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(r.source_id).alias("source_id"), F.lit(r.sent_idx).alias("src_idx"), F.lit(r.sentence).alias("other"), F.lit(r.clean).alias("other_clean")) for k, r in enumerate(first)])
-    tried = d.select("sentence", "clean", F.explode(few).alias("o")).select("sentence", "clean", "o.*").where(F.arrays_overlap(tokens(F.col("clean")), tokens(F.col("other_clean"))))
+    tried = d.select("sentence", "clean", grams(F.col("sentence")).alias("g"), F.explode(few).alias("o")).select("sentence", "clean", "g", "o.*")
+    tried = tried.where(pair_tfidf_bound(F.col("g"), grams(F.col("other"))) >= threshold - 1e-9).drop("g")
     scored = tried.withColumn("score", pair_tfidf(F.col("sentence"), F.col("other"))).where(F.col("score") >= threshold)
     gated = scored.where(partial_udf("clean", "other_clean") > GATE)
     best = gated.groupBy("sentence", "clean").agg(F.min(F.struct("place", "source_id", "src_idx", "score")).alias("m"))

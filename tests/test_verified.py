@@ -139,3 +139,10 @@ def test_cut_refuses_a_cluster_without_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_bound_of_the_cosine_is_one(spark):
+    texts = ["a bc de fg hi jk lm", "bc bc bc de fg", "the growth of the small towns of the delta", "the growth of small towns", "bc de", "zz yy", "bc"]
+    rows = [(x, y) for x in texts for y in texts]
+    got = spark.createDataFrame(rows, "x string, y string").select(similarity.pair_tfidf(F.col("x"), F.col("y")).alias("v"), similarity.pair_tfidf_bound(similarity.grams(F.col("x")), similarity.grams(F.col("y"))).alias("b")).collect()
+    assert all(r.v <= r.b + 1e-6 for r in got) and any(r.b < 75 for r in got)
