@@ -67,14 +67,15 @@ def canonical_full(text: str) -> str:
     t = t.translate(_SINGLE)
     t = _FOREIGN_WORD.sub(_twins, t)
     t = unicodedata.normalize("NFC", t)
-    return _BLANKS.sub(" ", t).strip()
+    return _BLANKS.sub(" ", t).strip(" ")
 
 
 _SINGLE = {ord(c): "-" for c in HYPHENS} | {ord(SCRIPT_G): "g"}
 # What may change: characters that the quick checks of the composed forms don't pass, invisible ones, and look-alikes.
 _UNSTABLE = r"\p{NFC_QC=N}\p{NFC_QC=M}\p{NFKC_QC=N}\p{Cf}͏ᅟᅠㅤ⠀︀-️" + _SCRIPTS + HYPHENS + SCRIPT_G
 # A segment is a word with such a character: nothing in the definition looks across a blank between visible characters.
-_SEGMENT = regex.compile(rf"(?<![^\s\p{{Z}}])[^\s\p{{Z}}{_UNSTABLE}]*+[{_UNSTABLE}][^\s\p{{Z}}]*")
+# A blank that is one of them (U+00A0) belongs to no word.
+_SEGMENT = regex.compile(rf"(?<![^\s\p{{Z}}])[^\s\p{{Z}}{_UNSTABLE}]*+(?![\s\p{{Z}}])[{_UNSTABLE}][^\s\p{{Z}}]*")
 _ODD_BLANK = regex.compile(r"[\s\p{Z}]{2}|(?! )[\s\p{Z}]")
 
 
@@ -85,7 +86,7 @@ def canonical(text: str | None) -> str | None:
     if not text.isascii():
         text = _SEGMENT.sub(lambda m: canonical_full(m.group()), text)
     # A word of invisible characters leaves two blanks side by side, so the splice closes them.
-    return (_BLANKS.sub(" ", text) if _ODD_BLANK.search(text) else text).strip()
+    return (_BLANKS.sub(" ", text) if _ODD_BLANK.search(text) else text).strip(" ")
 
 
 def with_canonical(df: DataFrame, text_col: str, out_col: str) -> DataFrame:

@@ -54,6 +54,11 @@ def test_canonical_by_segments(text):
     assert lookalikes.canonical(c) == c
 
 
+@pytest.mark.parametrize("text, want", [("a\xa0\xa0a", "a a"), ("\xa0é\xa0\u3000\xa0b\xa0", "é b"), ("x\u2009\xa0у", "x y"), ("а\x1c b", "a\x1c b")])
+def test_canonical_of_blanks_that_are_unstable(text, want):
+    assert lookalikes.canonical(text) == lookalikes.canonical_full(text) == want
+
+
 def test_canonical_keeps_what_looks_different():
     assert lookalikes.canonical("Аdарtіvе​ ｗｉｄｅ ofﬁce") == "Adaptive wide office"
     assert lookalikes.canonical("x²") == "x²" and lookalikes.canonical("Москва") == "Москва" and lookalikes.canonical(None) is None
