@@ -134,6 +134,30 @@ def test_network_learns_held_out():
     assert langid.segments_of_many(["", "   "], net) == [[], []] or all(not s or s[0][4] == 0 for s in langid.segments_of_many(["", "   "], net))
 
 
+def test_activations_in_small_batches(monkeypatch):
+    net, sizes, act = langid.ByteNet(("a", "b")), [], langid.ByteNet._activations
+    monkeypatch.setattr(langid.ByteNet, "_activations", lambda self, raw: sizes.append(len(raw)) or act(self, raw))
+    r = random.Random(4)
+    texts = ["".join(r.choices("abc déक।. ", k=r.randint(12, 300))) for _ in range(600)]
+    many = net.sentence_probabilities(texts)
+    assert max(sizes) <= 1 << 15 and len(many) == len(texts)
+    assert np.allclose(many, np.concatenate([net.sentence_probabilities([t]) for t in texts]), atol=1e-5)
+
+
+def test_first_places_of_maxima():
+    net = langid.ByteNet(("a", "b"))
+    x = np.random.default_rng(5).integers(97, 100, (40, langid.WINDOW)).astype(np.uint8)
+    for k, n in enumerate((0, 1, 3, 4, 8, 9, 60, 127)):
+        x[k, n:] = 0
+    f, at = net._pool(x)
+    z = net._activations(x.reshape(-1)).reshape(40, langid.WINDOW, -1)
+    for j in range(z.shape[2]):
+        w = langid.WIDTHS[j // langid.FILTERS]
+        for k in range(40):
+            n = max(0, max(1, int((x[k] != 0).sum())) - w) + 1
+            assert at[k, j] == z[k, :n, j].argmax() and f[k, j] == max(z[k, :n, j].max(), 0)
+
+
 # Problem 5
 
 
