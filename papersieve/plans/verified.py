@@ -219,7 +219,7 @@ def language_confidence(spark, d):
 
 
 @query(
-    r"""WITH q AS (SELECT DISTINCT ref_id, title FROM bib_refs WHERE ref_id % 100 = 0 AND title IS NOT NULL), c AS (SELECT DISTINCT hit_id, title FROM scholar_hits WHERE title IS NOT NULL),
+    r"""WITH q AS (SELECT DISTINCT ref_id, title FROM bib_refs WHERE title IS NOT NULL), c AS (SELECT DISTINCT hit_id, title FROM scholar_hits WHERE title IS NOT NULL),
 t AS (SELECT 'q' AS side, ref_id AS id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}') AS w FROM q UNION ALL SELECT 'c', hit_id, regexp_extract_all(lower(title), '[\p{L}\p{N}_]{2,}') FROM c),
 g AS (SELECT side, id, g, count(*) AS f FROM (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM t) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM t), df AS (SELECT g, ln((1 + (SELECT n FROM n)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY 1), v AS (SELECT side, id, g, f * idf AS x FROM g JOIN df USING (g)), s AS (SELECT side, id, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
@@ -227,8 +227,8 @@ p AS (SELECT a.id AS ref_id, b.id AS hit_id, sum(a.x * b.x) AS dot FROM v a JOIN
 SELECT ref_id, hit_id, round(100 * dot / (x.norm * y.norm), 4) AS cosine FROM p JOIN s x ON x.side = 'q' AND x.id = ref_id JOIN s y ON y.side = 'c' AND y.id = hit_id WHERE 100 * dot / (x.norm * y.norm) >= 50"""
 )
 def batch_tfidf(spark, d):
-    """References whose id is divisible by 100 against all hits, by one model of all their titles."""
-    q = read_table(spark, d, "bib_refs").where("ref_id % 100 = 0 and title is not null").select(F.col("ref_id").alias("id"), F.col("title").alias("t")).distinct()
+    """All references against all hits, by one model of all their titles."""
+    q = read_table(spark, d, "bib_refs").where("title is not null").select(F.col("ref_id").alias("id"), F.col("title").alias("t")).distinct()
     c = read_table(spark, d, "scholar_hits").where("title is not null").select(F.col("hit_id").alias("id"), F.col("title").alias("t")).distinct()
     return similarity.batch_tfidf(q, c, least=50.0).select(F.col("q_id").alias("ref_id"), F.col("c_id").alias("hit_id"), F.round("cosine", 4).alias("cosine"))
 
