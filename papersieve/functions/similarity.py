@@ -9,10 +9,10 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from papersieve.session import cut, partitions
+from papersieve.functions.gramjoin import cosine_pairs
+from papersieve.session import cut
 
 ALONE = " "  # before the words of a text without grams, as no gram begins with it
 KAPPA = 1.4054651081081644  # 1 + ln(3/2): the weight of a gram that only one of two texts holds
@@ -190,32 +190,8 @@ def pair_tfidf_frame(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataF
 
 def batch_tfidf(queries: DataFrame, corpus: DataFrame, least: float = 0.0) -> DataFrame:
     """(q_id, c_id, cosine) in percent of all pairs with a common gram and at least so much, by one TF-IDF model of word
-    grams fitted on both sides (id, t).
-
-    A gram's weight is at most its idf, so a pair that reaches least has a gram of a query's heaviest ones: only the
-    grams of a query that hold more than 1 - (least / 100) ** 2 of its squared norm, the rarest first, look for partners,
-    and the others are added for the pairs found. Nothing is lost, and frequent grams seldom are keys.
-    """
-    spark = queries.sparkSession
-    of = lambda df, side: df.select(F.lit(side).alias("side"), "id", "t")
-    total = queries.count() + corpus.count()
-    # Texts are spread by id, so their grams are counted where they are. No side of the joins is bounded, so none may go to
-    # the driver to be broadcast; what several steps read is written once.
-    texts = of(queries, "q").unionByName(of(corpus, "c")).repartition(partitions(spark), "side", "id")
-    f = texts.select("side", "id", F.explode(grams(F.col("t"))).alias("g")).groupBy("side", "id", "g").agg(F.count("*").alias("f"))
-    of_gram = W.partitionBy("g")
-    w = f.select("side", "id", "g", "f", (F.log(F.lit(1.0 + total) / (1 + F.count("*").over(of_gram))) + 1).alias("idf"), F.max(F.col("side") == "q").over(of_gram).alias("asked"))
-    w = cut(w.withColumn("y", F.col("f") * F.col("idf")).drop("f"), reclaim=True)
-    norm = w.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("y") ** 2)).alias("norm"))
-    # Grams that no query has count for the norms only.
-    v = cut(w.where("asked").join(norm.hint("merge"), ["side", "id"]).select("side", "id", "g", "idf", (F.col("y") / F.col("norm")).alias("x")), reclaim=True)
-    q, c = v.where("side = 'q'").select(F.col("id").alias("q_id"), "g", "idf", F.col("x").alias("a")), v.where("side = 'c'").select(F.col("id").alias("c_id"), "g", F.col("x").alias("b"))
-    before = F.coalesce(F.sum(F.col("a") ** 2).over(W.partitionBy("q_id").orderBy(F.desc("idf"), "g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = q.withColumn("before", before).withColumn("key", F.col("before") <= 1 - (least / 100) ** 2 + 1e-9)
-    q = cut(ranked.withColumn("rest", 1 - F.sum(F.when(F.col("key"), F.col("a") ** 2)).over(W.partitionBy("q_id"))).select("q_id", "g", "a", "key", "rest"))
-    # What the keys of a pair yield, and at most the rest of both norms. The other grams are added where that is enough.
-    met = q.where("key").select("q_id", "g", "a", "rest").join(c.hint("merge"), "g").groupBy("q_id", "c_id").agg(F.sum(F.col("a") * F.col("b")).alias("part"), F.sum(F.col("b") ** 2).alias("used"), F.first("rest").alias("rest"))
-    met = cut(met.where(F.col("part") + F.sqrt(F.greatest(F.lit(0.0), F.col("rest")) * F.greatest(F.lit(0.0), 1 - F.col("used"))) >= least / 100 - 1e-9).select("q_id", "c_id", "part"), reclaim=True)
-    more = met.select("q_id", "c_id").join(q.where("not key").select("q_id", "g", "a").hint("merge"), "q_id").join(c.hint("merge"), ["c_id", "g"]).select("q_id", "c_id", (F.col("a") * F.col("b")).alias("part"))
-    dot = met.unionByName(more).groupBy("q_id", "c_id").agg((100 * F.sum("part")).alias("cosine"))
-    return dot.where(F.col("cosine") >= least)
+    grams fitted on both sides (id, t). No side is bounded, so none goes to the driver to be broadcast."""
+    words = F.array_join(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), " ")
+    of = lambda df, side: df.select(F.lit(side).alias("side"), "id", words.alias("words"))
+    texts = cut(of(queries, "q").unionByName(of(corpus, "c")))
+    return cosine_pairs(texts, texts.count(), least)
