@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersieve.session import cut, partitions
+from papersieve.session import cut, discard, partitions
 
 BLOCK = 100_000  # texts in a block of the side that is searched
 PART = 50_000  # texts whose grams are numbered together
+WIDE = 64  # grams of a text that have a place in a row
 SHIFT = 32  # bits of a gram's number below its count
 SLACK = 1e-4  # for sums of single precision
 
@@ -50,8 +51,7 @@ class Vectors:
         self.x = self.y / norms[self.row]
         square = self.x * self.x
         run = np.concatenate([[0.0], np.cumsum(square)])
-        self.rest = np.maximum(run[self.start[self.row + 1]] - run[1:], 0.0)
-        self.since = self.rest + square
+        self.since = np.maximum(run[self.start[self.row + 1]] - run[1:], 0.0) + square
 
 
 class Lists:
@@ -62,11 +62,19 @@ class Lists:
         self.grams, local = np.unique(v.code, return_inverse=True)
         self.local = local.astype(np.int32)
         order = np.lexsort((-v.since, self.local))
-        self.texts, self.x, self.rest = v.row[order], v.x[order].astype(np.float32), v.rest[order].astype(np.float32)
+        self.texts = v.row[order]
         self.keys = self.local[order] + np.clip(1 - v.since[order], 0, 1 - 1e-9)
         self.begin = np.searchsorted(self.local[order], np.arange(len(self.grams) + 1))
-        self.sums, self.left = np.zeros(len(v.norm), dtype=np.float32), np.zeros(len(v.norm), dtype=np.float32)
-        self.weights = np.zeros(len(self.grams) + 1)
+        self.met = np.zeros(len(v.norm), dtype=bool)
+        self.weights, self.single = np.zeros(len(self.grams) + 1), np.zeros(len(self.grams) + 1, dtype=np.float32)
+        # The first grams of every text as one row, for a sum of single precision; long texts are always scored.
+        size = np.diff(v.start)
+        wide = min(WIDE, int(size.max(initial=0)))
+        self.long, place = size > wide, np.arange(len(v.row)) - v.start[v.row]
+        self.row_grams = np.full((len(v.norm), wide), len(self.grams), dtype=np.int32)
+        self.row_x = np.zeros((len(v.norm), wide), dtype=np.float32)
+        some = place < wide
+        self.row_grams[v.row[some], place[some]], self.row_x[v.row[some], place[some]] = self.local[some], v.x[some]
 
     def partners(self, q: Vectors, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of q, text, cosine in percent) of all pairs with a common gram, from least up."""
@@ -78,25 +86,25 @@ class Lists:
         hi = np.where(known, np.clip(hi, lo, self.begin[gram + 1] if len(self.grams) else lo), lo)
         use = np.flatnonzero(hi > lo)
         bounds = np.searchsorted(q.row[use], np.arange(len(q.norm) + 1)).tolist()
-        lo_, hi_, x_, rest_ = lo[use].tolist(), hi[use].tolist(), q.x[use].astype(np.float32), q.rest[use].astype(np.float32)
+        lo_, hi_ = lo[use].tolist(), hi[use].tolist()
         gram = np.where(known, gram, len(self.grams))
-        texts, x, rest, sums, left, out = self.texts, self.x, self.rest, self.sums, self.left, []
+        texts, met, out = self.texts, self.met, []
         for i in range(len(q.norm)):
             a, b = bounds[i], bounds[i + 1]
             if a == b:
                 continue
-            seen = []
             for k in range(a, b):
-                part = slice(lo_[k], hi_[k])
-                ids = texts[part]
-                sums[ids] += x[part] * x_[k]
-                left[ids] = rest[part] * rest_[k]
-                seen.append(ids)
-            ids = np.concatenate(seen)
-            found = np.unique(ids[sums[ids] + np.sqrt(left[ids]) >= t - SLACK])
-            sums[ids] = 0
+                met[texts[lo_[k] : hi_[k]]] = True
+            found = np.flatnonzero(met)
+            met[found] = False
+            own = slice(q.start[i], q.start[i + 1])
+            self.single[gram[own]] = q.x[own]
+            self.single[-1] = 0
+            # Indices are within bounds, and clipping is faster than checking that.
+            near = np.einsum("ij,ij->i", self.single.take(self.row_grams.take(found, 0, mode="clip"), mode="clip"), self.row_x.take(found, 0, mode="clip"))
+            found = found[(near >= t - SLACK) | self.long[found]]
+            self.single[gram[own]] = 0
             if len(found):
-                own = slice(q.start[i], q.start[i + 1])
                 self.weights[gram[own]] = q.y[own]
                 self.weights[-1] = 0
                 size = self.start[found + 1] - self.start[found]
@@ -118,10 +126,14 @@ def placed(df: DataFrame, n: int, c: str) -> DataFrame:
 
 
 def cosine_pairs(texts: DataFrame, total: int, least: float) -> DataFrame:
-    """(q_id, c_id, cosine) of texts (side, id, words); the texts of an id count as one. Equal ones are compared once."""
+    """(q_id, c_id, cosine) of texts (side, id, words); the texts of an id count as one. Equal ones are compared once. texts is
+    a table that cut wrote; it is deleted as soon as it has been read."""
     spark = texts.sparkSession
     bags = texts.where("words <> ''").groupBy("side", "id").agg(F.array_join(F.sort_array(F.collect_list("words")), "\n").alias("bag"))
-    kinds = cut(bags.groupBy("side", "bag").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()))
+    # What is written here lets Spark delete the shuffle files of the stages before.
+    kinds = cut(bags.groupBy("side", "bag").agg(F.count("*").alias("n")).withColumn("no", F.monotonically_increasing_id()), reclaim=True)
+    members = cut(bags.join(kinds.hint("merge"), ["side", "bag"]).select("side", "no", "id"), reclaim=True)
+    discard(texts)
     size = {r.side: r["count"] for r in kinds.groupBy("side").count().collect()}
     parts = max(partitions(spark), -(-sum(size.values()) // PART))
     kinds = kinds.withColumn("part", F.pmod(F.xxhash64("no"), F.lit(parts)).cast("int"))
@@ -137,8 +149,8 @@ def cosine_pairs(texts: DataFrame, total: int, least: float) -> DataFrame:
             names = list(q.keys() | c.keys())
             yield pd.DataFrame({"part": part, "g": names, "q": [q[g] for g in names], "c": [c[g] for g in names]})
 
-    met = cut(placed(kinds.select("part", "side", "bag", "n"), parts, "part").mapInPandas(count, "part int, g string, q long, c long"))
-    known = cut(met.groupBy("g").agg(F.sum("q").alias("q"), F.sum("c").alias("c")).withColumn("id", F.monotonically_increasing_id()))
+    met = cut(placed(kinds.select("part", "side", "bag", "n"), parts, "part").mapInPandas(count, "part int, g string, q long, c long"), reclaim=True)
+    known = cut(met.groupBy("g").agg(F.sum("q").alias("q"), F.sum("c").alias("c")).withColumn("id", F.monotonically_increasing_id()), reclaim=True)
     inside = F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
     wide = (known.agg(F.max(inside)).first()[0] or 0) + 1
     # A gram of one side only has its count, negative, as it adds to norms alone.
@@ -196,5 +208,5 @@ def cosine_pairs(texts: DataFrame, total: int, least: float) -> DataFrame:
                     yield pd.DataFrame({"x": rows["no"].to_numpy()[i], "y": nos[j], "cosine": cosine})
 
     found = grid.mapInPandas(search, "x long, y long, cosine double")
-    members = lambda side, no, c: bags.where(F.col("side") == side).join(kinds.where(F.col("side") == side).select("bag", F.col("no").alias(no)).hint("merge"), "bag").select(no, F.col("id").alias(c)).hint("merge")
-    return found.join(members("q", "x", "q_id"), "x").join(members("c", "y", "c_id"), "y").select("q_id", "c_id", "cosine")
+    of_side = lambda side, no, c: members.where(F.col("side") == side).select(F.col("no").alias(no), F.col("id").alias(c)).hint("merge")
+    return found.join(of_side("q", "x", "q_id"), "x").join(of_side("c", "y", "c_id"), "y").select("q_id", "c_id", "cosine")

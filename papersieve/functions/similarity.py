@@ -193,5 +193,5 @@ def batch_tfidf(queries: DataFrame, corpus: DataFrame, least: float = 0.0) -> Da
     grams fitted on both sides (id, t). No side is bounded, so none goes to the driver to be broadcast."""
     words = F.array_join(F.regexp_extract_all(F.lower("t"), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), " ")
     of = lambda df, side: df.select(F.lit(side).alias("side"), "id", words.alias("words"))
-    texts = cut(of(queries, "q").unionByName(of(corpus, "c")))
+    texts = cut(of(queries, "q").unionByName(of(corpus, "c")), reclaim=True)
     return cosine_pairs(texts, texts.count(), least)
